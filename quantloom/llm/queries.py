@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op2_bpe
 from .packing import op1_packing
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing}
+    return {"op1_packing": op1_packing, "op2_bpe": op2_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
