@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .langid import op6_langid
 from .packing import op1_packing
 from .simhash import op8_simhash
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op8_simhash": op8_simhash}
+    return {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op6_langid": op6_langid, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
