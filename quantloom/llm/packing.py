@@ -11,6 +11,7 @@ At last each piece gets the place that its rank among the pieces of its length h
 from __future__ import annotations
 
 import bisect
+import json
 import pickle
 import random
 import re
@@ -47,12 +48,31 @@ class _Ids:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
-        self.split_words = '"end_of_word_suffix":"</w>"' in re.sub(r"\s", "", self.tokenizer.to_str())
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.split_words = bool(suffix)
+        if suffix:
+            vocab = self.tokenizer.get_vocab()
+            self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends_word[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in found]
 
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words, many words a call: each word's ids end with the one that carries the suffix."""
+        out = []
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) != len(some):  # a word has no token that ends it
+                out += self.whole(some)
+                continue
+            blob = ids.tobytes()
+            out += [blob[i:j] for i, j in zip([0, *ends], ends)]
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         split, rest = {}, []
         for i, text in enumerate(texts):
@@ -63,8 +83,8 @@ class _Ids:
         if len(self.words) > _CACHE_WORDS:
             self.words.clear()
         words = self.words
-        new = list({w for ws in split.values() for w in ws if w not in words})
-        words.update(zip(new, self.whole(new)))
+        new = list(set().union(*split.values()) - words.keys())
+        words.update(zip(new, self.of_words(new)))
         out = {i: b"".join(map(words.__getitem__, ws)) for i, ws in split.items()}
         out.update(zip(rest, self.whole([texts[i] for i in rest])))
         return [out[i] for i in range(len(texts))]
@@ -284,7 +304,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, **parameters) -> DataFrame:
     earlier = "coalesce(sum(n) over (partition by length order by part rows between unbounded preceding and 1 preceding), 0)"
     first = stored(by_task.select("length", "part", F.expr(earlier).alias("earlier")), "ranks")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    ranked = pieces.join(first, ["length", "part"]).select(*columns, (F.col("place") + F.col("earlier")).alias("rank"))
+    ranked = pieces.join(first.hint("merge"), ["length", "part"]).select(*columns, (F.col("place") + F.col("earlier")).alias("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked.mapInArrow(place, schema)
 
