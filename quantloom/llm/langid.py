@@ -4,8 +4,8 @@ A text is its words, runs of letters in lower case, each between a start and an
 does not depend on its neighbours, so each distinct word is scored once. The models' n-grams lie in one
 sorted array of hashes per order, with a column per language: log probabilities, already interpolated for
 languages that lack the n-gram, and log back-off weights of contexts. The language with the least
-surprisal per character wins. A text whose surprisal lies too far above what that language's calibration
-texts show is rejected.
+surprisal per character wins. It is rejected where its surprisal lies nearer to that of the calibration
+texts' words with their letters mixed up than to that of the words themselves.
 
 The models are fitted on docs_per_language labelled texts of each language, about that many, chosen by a
 hash of doc_id; a fifth of them only calibrates. Every text is predicted whole.
@@ -13,6 +13,7 @@ hash of doc_id; a fifth of them only calibrates. Every text is predicted whole.
 
 from __future__ import annotations
 
+import random
 import re
 from dataclasses import dataclass
 
@@ -94,8 +95,7 @@ class Model:
     floor: np.ndarray  # log probability of a character that no n-gram has
     grams: list  # by order from 1: sorted hashes, log probabilities by language
     contexts: list  # the same of contexts and their weights; zero where a language lacks the context
-    usual: np.ndarray  # by language: mean surprisal, its variance between texts, and within, per character
-    limit: float  # standard deviations above the mean from which a text is rejected
+    limits: np.ndarray  # by language: the surprisal from which a long text is rejected, its variance per character
 
     def surprisal(self, words: list[str]) -> np.ndarray:
         """A row for each word: the surprisal by language, in nats, and the number of characters and marks."""
@@ -143,20 +143,15 @@ def fit(lists: dict[str, dict[str, int]], calibration: dict[str, list[list[str]]
         grams.append((keys, log_p.astype(np.float32)))
         contexts.append((own, weight.astype(np.float32)))
     floor = np.full(len(languages), -np.log(alphabet))
-    model = Model(languages, order, floor, grams, contexts, np.zeros((len(languages), 3)), 0.0)
-    zs = []
+    model = Model(languages, order, floor, grams, contexts, np.zeros((len(languages), 2)))
+    rng = random.Random(order)
     for j, x in enumerate(languages):
-        texts = [t for t in calibration.get(x, []) if t] or [list(lists[x])]
-        each = [model.surprisal(t)[:, [j, -1]] for t in texts]
-        total = np.array([e.sum(axis=0) for e in each])
-        words = np.concatenate(each)
-        mean = words[:, 0].sum() / words[:, 1].sum()
-        within = ((words[:, 0] - mean * words[:, 1]) ** 2).sum() / words[:, 1].sum()
-        rate = total[:, 0] / total[:, 1]
-        between = float(np.mean((rate - mean) ** 2)) + 1e-3
-        model.usual[j] = mean, between, within
-        zs.append(float(np.max((rate - mean) / np.sqrt(between + within / total[:, 1]))))
-    model.limit = max(6.0, 1.5 * max(zs))
+        words = [w for t in calibration.get(x, []) for w in t] or list(lists[x])
+        own = model.surprisal(words)[:, [j, -1]]
+        mixed = model.surprisal(["".join(rng.sample(w, len(w))) for w in words])
+        mean = own[:, 0].sum() / own[:, 1].sum()
+        spread = ((own[:, 0] - mean * own[:, 1]) ** 2).sum() / own[:, 1].sum()
+        model.limits[j] = (mean + mixed[:, :-1].min(axis=1).sum() / mixed[:, -1].sum()) / 2, spread
     return model
 
 
@@ -230,11 +225,11 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                     h = total[:, :-1] / total[:, -1:]
                     best = h.argmin(axis=1)
                     least = h[np.arange(len(some)), best]
-                    mean, between, within = model.usual[best].T
-                    far = (least - mean) / np.sqrt(between + within / total[:, -1])
+                    limit, spread = model.limits[best].T
+                    odd = least > limit + np.sqrt(spread / total[:, -1])
                     sure = 1 / np.exp(-(h - least[:, None]) * np.sqrt(total[:, -1:])).sum(axis=1)
-                    for i, b, s, x, z in zip(some, best.tolist(), sure.tolist(), least.tolist(), far.tolist()):
-                        lang[i], score[i], rate[i], rejected[i] = model.languages[b], s, x, z > model.limit
+                    for i, b, s, x, z in zip(some, best.tolist(), sure.tolist(), least.tolist(), odd.tolist()):
+                        lang[i], score[i], rate[i], rejected[i] = model.languages[b], s, x, z
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(at, 256) for c in batch.columns[: len(keep)]), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64()), pa.array(rejected, pa.bool_())],
                     names,
