@@ -6,11 +6,13 @@ from .bpe import op2_bpe
 from .langid import op6_langid
 from .packing import op1_packing
 from .simhash import op8_simhash
+from .warc import SQL as WARC_SQL
+from .warc import op7_warc
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op6_langid": op6_langid, "op8_simhash": op8_simhash}
+    return {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op6_langid": op6_langid, "op7_warc": op7_warc, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": WARC_SQL}
