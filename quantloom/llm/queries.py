@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .html_extract import op4_html
 from .langid import op6_langid
 from .packing import op1_packing
 from .simhash import op8_simhash
@@ -11,7 +12,7 @@ from .warc import op7_warc
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op6_langid": op6_langid, "op7_warc": op7_warc, "op8_simhash": op8_simhash}
+    return {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op4_html": op4_html, "op6_langid": op6_langid, "op7_warc": op7_warc, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
