@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .chat import SQL as CHAT_SQL
+from .chat import op5_chat
 from .html_extract import op4_html
 from .langid import op6_langid
 from .packing import op1_packing
@@ -12,8 +14,8 @@ from .warc import op7_warc
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op4_html": op4_html, "op6_langid": op6_langid, "op7_warc": op7_warc, "op8_simhash": op8_simhash}
+    return {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op4_html": op4_html, "op5_chat": op5_chat, "op6_langid": op6_langid, "op7_warc": op7_warc, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": WARC_SQL}
+    return {"op5_chat": CHAT_SQL, "op7_warc": WARC_SQL}
