@@ -194,13 +194,14 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     Null texts and those without letters are und, with score 0 and rejected; so is everything without a model.
     """
     kinds = [docs.schema[c] for c in keep]
+    columns = keep if "text" in keep else [*keep, "text"]
     names = [*keep, "lang_pred", "score", "cross_entropy", "rejected"]
 
     def run(batches):
         ids: dict[str, int] = {}
         scores = np.zeros((0, len(model.languages) + 1)) if model else None
         for batch in batches:
-            texts = batch.column(len(keep))
+            texts = batch.column(columns.index("text"))
             for at in range(0, len(texts), 256):
                 lists = [words_of(t) if model else [] for t in texts.slice(at, 256).to_pylist()]
                 if len(ids) > _CACHE_WORDS:
@@ -236,7 +237,18 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                 )
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "lang_pred string", "score double", "cross_entropy double", "rejected boolean"])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, schema)
+
+
+def known_language(docs: DataFrame, docs_per_language: int = 1500) -> DataFrame:
+    """The documents, of the same columns, without those that the models reject; models learn from the rows
+    that are not held out. A null lang becomes the predicted one. Without any labelled row all are kept."""
+    docs_ = with_fold(docs)
+    model = train(docs_.where("not held_out"), docs_per_language)
+    if model is None:
+        return docs
+    out = predict(docs, model, docs.columns).where("not rejected")
+    return out.select(*(F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def with_fold(docs: DataFrame) -> DataFrame:

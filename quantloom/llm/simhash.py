@@ -9,6 +9,7 @@ A leaf returns a spanning forest of its links, never all pairs; components join
 
 from __future__ import annotations
 
+import math
 import random
 from itertools import repeat
 
@@ -254,5 +255,131 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, **parame
     )
 
 
+# ---------------------------------------------------------------- similarity of shingle sets
+
+WIDE = 16  # words of 64 bits
+
+
+def wide_fingerprints(texts: list[str | None], words: int = 5) -> tuple[list[bytes], np.ndarray]:
+    """1024-bit SimHash of each text's set of shingles, and the set's size; zeros for texts without words."""
+    out, sizes = [bytes(8 * WIDE)] * len(texts), np.zeros(len(texts), np.int64)
+    salts = np.random.default_rng(42).integers(0, 2**64, WIDE, np.uint64, endpoint=False)
+    for i, text in enumerate(texts):
+        w = (text or "").encode("utf-8").lower().split()
+        if not w:
+            continue
+        shingles = {b" ".join(w)} if len(w) < words else set(map(b" ".join, zip(*(w[k:] for k in range(words)))))
+        n = sizes[i] = len(shingles)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
+        count = np.zeros(64 * WIDE, np.int32)
+        for at in range(0, n, 4096):
+            h = hashes[at : at + 4096, None] ^ salts
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            count += np.unpackbits((h ^ (h >> np.uint64(31))).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
+        out[i] = np.packbits(2 * count > n).tobytes()
+    return out, sizes
+
+
+def bits_for(similarity: float) -> float:
+    """The share of bits in which sets of this Jaccard similarity are expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: int = 4, leaf_rows: int = 2048, sample_rows: int = 16384) -> DataFrame:
+    """Links (a, b) among nodes (wide, size, node) that span the components of pairs whose sets' similarity,
+    estimated from 1024 bits, is high enough.
+
+    Sets so similar differ in size by that factor at most: the distance from the empty set is the first
+    vantage point's, and bounds exactly. Of 64 bits such pairs differ in so many that no triangle bound
+    excludes a branch; a point therefore enters the branches that lie within reach of it only, in several
+    trees, and the recall this gives is measured by tests.
+    """
+    n = nodes.count()
+    spark = nodes.sparkSession
+    if n < 2:
+        return spark.createDataFrame([], "a long, b long")
+    word = lambda wide: np.frombuffer(b"".join(wide), "<u8").reshape(-1, WIDE)
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(sample_rows).select("wide", "size").toArrow()
+    points, band_of = word(sample["wide"].to_pylist())[:, 0], lambda size: np.floor(np.log(np.maximum(size, 1)) / -math.log(similarity)).astype(np.int64)
+    # as many leaves as the fullest band of sizes needs
+    fullest = np.unique(band_of(np.asarray(sample["size"])), return_counts=True)[1].max() / sample.num_rows
+    forest = [routing_tree(points, max(1, math.ceil(n * fullest / leaf_rows)), seed) for seed in range(trees)]
+    far = 64 * bits_for(similarity)
+    near, wide_near = int(far + 3.3 * math.sqrt(far * (1 - far / 64))), 64 * WIDE * bits_for(similarity)
+
+    def send(batches):
+        for batch in batches:
+            wide, size, node = (batch.column(c) for c in range(3))
+            first, band = word(wide.to_pylist())[:, 0], band_of(np.asarray(size))
+            for t, tree in enumerate(forest):
+                for leaf, rows, home in routes(tree, first, reach):
+                    for up in (0, 1):  # in the band of larger sets, a query
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(rows), t)), pa.array(band[rows] + up), pa.array(np.full(len(rows), leaf)), wide.take(pa.array(rows)), size.take(pa.array(rows)), node.take(pa.array(rows)), pa.array(home & (up == 0))],
+                            ["tree", "band", "leaf", "wide", "size", "node", "home"],
+                        )
+
+    def search(leaf: pa.Table) -> pa.Table:
+        node, home = np.asarray(leaf["node"]), np.asarray(leaf["home"])
+        wide, size = word(leaf["wide"].to_pylist()), np.asarray(leaf["size"])
+        found = Forest(len(node))
+
+        def link(a, b):
+            for at in range(0, len(a), 1 << 15):
+                x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+                fits = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])
+                x, y = x[fits], y[fits]
+                ok = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int32) <= wide_near
+                found.link(x[ok], y[ok])
+
+        first, rng = np.ascontiguousarray(wide[:, 0]), random.Random(len(node))
+        members, queries = np.flatnonzero(home), np.flatnonzero(~home)
+        near_pairs(first, members, members, near, link, rng)
+        near_pairs(first, members, queries, near, link, rng)
+        found.merge()
+        rows = np.flatnonzero(found.label != np.arange(len(node)))
+        return pa.table({"a": pa.array(node[rows]), "b": pa.array(node[found.label[rows]])})
+
+    schema = "tree long, band long, leaf long, wide binary, size long, node long, home boolean"
+    sent = nodes.select("wide", "size", "node").mapInArrow(send, schema)
+    return sent.groupBy("tree", "band", "leaf").applyInArrow(search, "a long, b long")
+
+
+def groups_of_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, **parameters) -> DataFrame:
+    """(doc_id, text) -> (doc_id, component_id, n), a row for each doc_id that is not null: the smallest doc_id
+    of its group of near-duplicates, and how many rows have the doc_id. Rows that repeat a doc_id are one
+    document; texts without words are one group."""
+
+    def run(batches):
+        for batch in batches:
+            doc_ids, texts = batch.columns
+            for at in range(0, len(texts), 256):
+                wide, sizes = wide_fingerprints(texts.slice(at, 256).to_pylist(), words)
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, 256), pa.array(wide, pa.binary()), pa.array(sizes)], ["doc_id", "wide", "size"])
+
+    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, wide binary, size long")
+    rows = stored(rows, "wide")
+    nodes = stored(rows.groupBy("wide", "size").agg(F.min("doc_id").alias("node")), "nodes")
+    found = components(similar_links(nodes, similarity, **parameters))
+    labelled = nodes.join(found, "node", "left").select("wide", "size", F.coalesce("component", "node").alias("component_id"))
+    out = rows.join(labelled, ["wide", "size"]).groupBy("doc_id")
+    return stored(out.agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, **parameters) -> DataFrame:
+    """The documents, of the same columns, less all but the smallest doc_id of each group of near-duplicates.
+
+    Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
+    """
+    rows = groups_of_similar(docs, similarity, words, **parameters)
+    # the rows that go are few: those that stay need no join partner
+    out = docs.join(rows.where("component_id < doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    if rows.where("n > 1").isEmpty():
+        return out
+    once = out.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return once.unionByName(out.where("doc_id is null"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -86,3 +86,44 @@ def test_components_of_long_chains_and_hubs(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     want = {i: 0 for i in range(1, 61)} | {i: 100 for i in range(101, 200)} | {401: 400}
     assert got == want
+
+
+def near_copies(rng, n_base=40):
+    """Documents, and for pairs of them the similarity of their sets of five-word shingles."""
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(400)]
+    texts = []
+    for _ in range(n_base):
+        base = rng.choices(words, k=rng.choice((30, 120, 400)))
+        texts.append(" ".join(base))
+        for _ in range(rng.choice((0, 0, 1, 3))):
+            copy = list(base)
+            for _ in range(rng.choice((0, 1, 2, 5))):
+                copy[rng.randrange(len(copy))] = rng.choice(words).upper()
+            texts.append("  ".join(copy))
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)})
+    return texts, lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+
+
+@pytest.mark.parametrize("leaf_rows", [16, 2048])
+def test_similar_documents_as_by_brute_force(spark, leaf_rows):
+    rng = random.Random(9)
+    texts, similarity = near_copies(rng, 90)
+    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, size string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.groups_of_similar(docs, leaf_rows=leaf_rows).collect()}
+    pairs = [(similarity(i, j), got[i] == got[j]) for i in range(len(texts)) for j in range(i)]
+    sure = [same for s, same in pairs if s >= 0.86]
+    assert len(sure) > 20 and sum(sure) >= 0.98 * len(sure)
+    assert not any(same for s, same in pairs if s < 0.5)
+
+
+def test_one_of_each(spark):
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [(3, "same old words here"), (1, "Same old  words HERE"), (2, None), (7, " "), (None, "same old words here"), (None, None), (1, "Same old  words HERE"), (9, long), (8, long + " end"), (4, "quite other words")]
+    docs = spark.createDataFrame([(i, t, "x", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, component_id string, n int")
+    out = simhash.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([1, 2, 8, 4, None, None], key=str)
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
