@@ -1 +1,6 @@
+"""Named queries over the domain frames, with their SQL for DuckDB."""
 
+from . import market
+
+QUERIES = {**market.QUERIES}
+ORACLE = {**market.ORACLE}
