@@ -1,6 +1,7 @@
 """Named queries over the domain frames, with their SQL for DuckDB."""
 
-from . import market
+from . import currencies, market
 
-QUERIES = {**market.QUERIES}
-ORACLE = {**market.ORACLE}
+MODULES = (market, currencies)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

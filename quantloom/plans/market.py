@@ -13,16 +13,22 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, frames: str, sql: str | None):
-    """Registers a function of frames (in that order) as a query, with its SQL."""
+def registry(queries: dict, oracles: dict[str, str]):
+    def query(name: str, frames: str, sql: str | None):
+        """Registers a function of frames (in that order) as a query, with its SQL."""
 
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(*(frame(spark, sf_dir, x) for x in frames.split()))
-        if sql:
-            ORACLE[name] = oracle(frames, sql)
-        return f
+        def add(f):
+            queries[name] = lambda spark, sf_dir: f(*(frame(spark, sf_dir, x) for x in frames.split()))
+            if sql:
+                oracles[name] = oracle(frames, sql)
+            return f
 
-    return add
+        return add
+
+    return query
+
+
+query = registry(QUERIES, ORACLE)
 
 
 def rounded(df, digits: int = 6, **others):
