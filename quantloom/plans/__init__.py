@@ -1,7 +1,7 @@
 """Named queries over the domain frames, with their SQL for DuckDB."""
 
-from . import currencies, market
+from . import currencies, market, membership
 
-MODULES = (market, currencies)
+MODULES = (market, currencies, membership)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
