@@ -373,8 +373,9 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, **para
     Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
     """
     rows = groups_of_similar(docs, similarity, words, **parameters)
-    # the rows that go are few: those that stay need no join partner
-    out = docs.join(rows.where("component_id < doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # nothing bounds the list of those that go: it is never broadcast
+    gone = rows.where("component_id < doc_id").select("doc_id")
+    out = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if rows.where("n > 1").isEmpty():
         return out
     once = out.where("doc_id is not null").dropDuplicates(["doc_id"])
