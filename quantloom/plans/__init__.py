@@ -1,7 +1,7 @@
 """Named queries over the domain frames, with their SQL for DuckDB."""
 
-from . import currencies, market, membership, research
+from . import currencies, market, membership, research, screens
 
-MODULES = (market, currencies, membership, research)
+MODULES = (market, currencies, membership, research, screens)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
