@@ -121,8 +121,8 @@ class Model:
         return np.column_stack([-np.add.reduceat(log_p, ends - (sizes - 1), axis=0), sizes - 1])
 
 
-def fit(lists: dict[str, dict[str, int]], calibration: dict[str, list[list[str]]], order: int = 5) -> Model:
-    """Fits a model to {language: {word: count}}, and its rejection to {language: [words of a text]}."""
+def fit(lists: dict[str, dict[str, int]], calibration: dict[str, list[list[str]]], order: int = 5, calibration_words: int = 20_000) -> Model:
+    """Fits a model to {language: {word: count}}, and its rejection to so many words of {language: [words of a text]}."""
     languages = sorted(lists)
     alphabet = len({c for words in lists.values() for w in words for c in w}) + 2
     parts = [
@@ -147,6 +147,7 @@ def fit(lists: dict[str, dict[str, int]], calibration: dict[str, list[list[str]]
     rng = random.Random(order)
     for j, x in enumerate(languages):
         words = [w for t in calibration.get(x, []) for w in t] or list(lists[x])
+        words = rng.sample(words, calibration_words) if len(words) > calibration_words else words
         own = model.surprisal(words)[:, [j, -1]]
         mixed = model.surprisal(["".join(rng.sample(w, len(w))) for w in words])
         mean = own[:, 0].sum() / own[:, 1].sum()
@@ -179,8 +180,9 @@ def train(docs: DataFrame, docs_per_language: int = 1500, order: int = 5) -> Mod
 
     lists: dict[str, dict[str, int]] = {}
     pairs = counted.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    for r in pairs.toArrow().to_pylist():
-        lists.setdefault(r["lang"], {})[r["word"]] = r["n"]
+    got = pairs.toArrow()
+    for lang, word, n in zip(*(got[c].to_pylist() for c in ("lang", "word", "n"))):
+        lists.setdefault(lang, {})[word] = n
     calibration: dict[str, list[list[str]]] = {}
     for r in chosen.where("calibrates").select("lang", "text").toArrow().to_pylist():
         calibration.setdefault(r["lang"], []).append(words_of(r["text"]))
