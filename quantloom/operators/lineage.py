@@ -24,8 +24,9 @@ def classify(spark: SparkSession, sql: str) -> dict:
     if not m:
         return {"kind": "read", "target": None, "sources": sources(spark, sql)}
     target = m[2].replace("`", "")
-    body = re.search(r"\b(select\b.*)$", sql, re.I | re.S)
-    read = sources(spark, body[1]) if body else []
+    # without the clause that names the target, what is left is the query that is written, if there is one
+    rest = sql[: m.start(1)] + re.sub(r"^\s*(?:\([^()]*\)\s*)?(?:as\s+)?(?=(?:select|with)\b)", "", sql[m.end(2) :], flags=re.I)
+    read = sources(spark, rest) if re.match(r"\s*(?:with|select)\b", rest, re.I) else []
     return {"kind": "write", "target": target, "sources": [s for s in read if s != target]}
 
 

@@ -16,7 +16,7 @@ def as_arrays(points: DataFrame, by: list[str], value: str = "value") -> DataFra
 
 def at_tenor(curve: Column, tenor: Column) -> Column:
     """The curve's value at a tenor, linear between its points; null outside them."""
-    low = F.element_at(F.filter(curve, lambda p: p.tenor <= tenor), -1)
+    low = F.try_element_at(F.filter(curve, lambda p: p.tenor <= tenor), F.lit(-1))
     high = F.get(F.filter(curve, lambda p: p.tenor >= tenor), 0)
     share = F.try_divide(tenor - low.tenor, high.tenor - low.tenor)
     return F.when(low.tenor.isNotNull() & high.tenor.isNotNull(), F.when(low.tenor == high.tenor, low.value).otherwise(low.value + (high.value - low.value) * share))

@@ -52,7 +52,7 @@ def intervals(events: DataFrame) -> DataFrame:
         opens = s.since.isNull() & (e.r != 0)
         closes = s.since.isNotNull() & (e.r != 1)
         again = s.since.isNotNull() & (e.r == 1)
-        last = F.element_at(s.out, -1)
+        last = F.try_element_at(s.out, F.lit(-1))
         # an interval that begins where the last ended goes on with that one
         touches = opens & (F.size(s.out) > 0) & (last.t == e.d)
         out = (
