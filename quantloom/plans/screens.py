@@ -22,24 +22,23 @@ def _curves(points):
     return nominal.join(real, "as_of_date")
 
 
-def _at(value: str, tenor: float) -> str:
-    lo, hi = int(tenor), int(tenor) + (tenor != int(tenor))
-    if lo == hi:
-        return f"max({value}) FILTER (tenor = {lo})"
-    return f"(max({value}) FILTER (tenor = {lo}) + (max({value}) FILTER (tenor = {hi}) - max({value}) FILTER (tenor = {lo})) * {tenor - lo})"
+def _at(value: str, tenor: float | str) -> str:
+    """A group's value at a tenor, between the points on either side."""
+    low, high = f"FILTER (c.tenor <= {tenor})", f"FILTER (c.tenor >= {tenor})"
+    lo, vlo, hi, vhi = f"max(c.tenor) {low}", f"max_by({value}, c.tenor) {low}", f"min(c.tenor) {high}", f"min_by({value}, c.tenor) {high}"
+    return f"(CASE WHEN {lo} = {hi} THEN {vlo} ELSE {vlo} + ({vhi} - {vlo}) * ({tenor} - {lo}) / ({hi} - {lo}) END)"
 
 
-@query("curve_interpolation", "curve_point", f"SELECT as_of_date, round({_at('nominal', 2.25)}, 8) AS v2, round({_at('nominal', 6.5)}, 8) AS v6, CAST(NULL AS DOUBLE) AS outside FROM curve_point GROUP BY as_of_date")
+@query("curve_interpolation", "curve_point", f"SELECT as_of_date, round({_at('nominal', 2.25)}, 8) AS v2, round({_at('nominal', 6.5)}, 8) AS v6, CAST(NULL AS DOUBLE) AS outside FROM curve_point c GROUP BY as_of_date")
 def curve_interpolation(points):
     at = lambda t: X.at_tenor(F.col("curve"), F.lit(t))
-    # every tenor has a point each month, or the oracle's two neighbours would not do
     return rounded(_curves(points).select("as_of_date", at(2.25).alias("v2"), at(6.5).alias("v6"), at(7.5).alias("outside")), 8)
 
 
 @query(
     "curve_spreads",
     "curve_point",
-    f"SELECT as_of_date, round(({_at('nominal', 7)} - {_at('nominal', 2)}) * 100, 6) AS spread, round((2 * {_at('nominal', 4)} - {_at('nominal', 2)} - {_at('nominal', 7)}) * 100, 6) AS fly, round({_at('nominal', 5)} - {_at('real_rate', 5)}, 8) AS breakeven, round(({_at('nominal', 7)} - {_at('nominal', 4)}) * 100, 6) AS roll, round(({_at('nominal', 7)} - 3) * 300 + ({_at('nominal', 7)} - {_at('nominal', 4)}) * 100, 6) AS carry FROM curve_point GROUP BY as_of_date",
+    f"SELECT as_of_date, round(({_at('nominal', 7)} - {_at('nominal', 2)}) * 100, 6) AS spread, round((2 * {_at('nominal', 4)} - {_at('nominal', 2)} - {_at('nominal', 7)}) * 100, 6) AS fly, round({_at('nominal', 5)} - {_at('real_rate', 5)}, 8) AS breakeven, round(({_at('nominal', 7)} - {_at('nominal', 4)}) * 100, 6) AS roll, round(({_at('nominal', 7)} - 3) * 300 + ({_at('nominal', 7)} - {_at('nominal', 4)}) * 100, 6) AS carry FROM curve_point c GROUP BY as_of_date",
 )
 def curve_spreads(points):
     c = F.col("curve")
@@ -49,7 +48,7 @@ def curve_spreads(points):
 @query(
     "curve_richness",
     "curve_point",
-    f""", s AS (SELECT as_of_date, ({_at('nominal', 7)} - {_at('nominal', 2)}) * 100 AS v FROM curve_point GROUP BY as_of_date), n AS (SELECT max_by(v, as_of_date) AS current FROM s)
+    f""", s AS (SELECT as_of_date, ({_at('nominal', 7)} - {_at('nominal', 2)}) * 100 AS v FROM curve_point c GROUP BY as_of_date), n AS (SELECT max_by(v, as_of_date) AS current FROM s)
     SELECT '2s7s' AS spread, round(max(current), 6) AS current, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(100 * avg(CASE WHEN v <= current THEN 1.0 ELSE 0 END), 4) AS percentile, count(v) AS n, round((max(current) - avg(v)) / stddev_pop(v), 6) AS zscore FROM s, n""",
 )
 def curve_richness(points):
@@ -63,7 +62,8 @@ _FLOWS = "(VALUES ('a', 1.0, 5.0), ('a', 2.0, 5.0), ('a', 3.0, 105.0), ('b', 7.0
 @query(
     "curve_present_values",
     "curve_point",
-    f", x AS (SELECT c.as_of_date, f.leg, count(*) = (SELECT count(*) FROM {_FLOWS.replace('f(', 'g(')} WHERE g.leg = f.leg) AS whole, sum(amount * exp(-nominal / 100 * f.tenor)) AS pv, sum(amount * exp(-(nominal - 0.01) / 100 * f.tenor)) AS down FROM curve_point c JOIN {_FLOWS} ON f.tenor = c.tenor GROUP BY c.as_of_date, f.leg), d AS (SELECT DISTINCT as_of_date, leg FROM curve_point, {_FLOWS}) SELECT as_of_date, leg, round(CASE WHEN whole THEN pv END, 6) AS pv, round(CASE WHEN whole THEN down - pv END, 6) AS dv01 FROM d LEFT JOIN x USING (as_of_date, leg)",
+    f", x AS (SELECT c.as_of_date, f.leg, f.tenor AS t, any_value(f.amount) AS amount, {_at('nominal', 'f.tenor')} AS z FROM curve_point c CROSS JOIN {_FLOWS} GROUP BY c.as_of_date, f.leg, f.tenor) "
+    "SELECT as_of_date, leg, round(CASE WHEN count(*) = count(z) THEN sum(amount * exp(-z / 100 * t)) END, 6) AS pv, round(CASE WHEN count(*) = count(z) THEN sum(amount * exp(-(z - 0.01) / 100 * t)) - sum(amount * exp(-z / 100 * t)) END, 6) AS dv01 FROM x GROUP BY as_of_date, leg",
 )
 def curve_present_values(points):
     flows = points.sparkSession.sql("select leg, cast(tenor as double) as tenor, cast(amount as double) as amount from " + _FLOWS)
