@@ -197,9 +197,9 @@ def portfolio_series(closes, weights):
     "closes portfolio_weight index_levels",
     PORTFOLIO + BENCH
     + """, j AS (SELECT s.*, b, ret - b AS x FROM series s JOIN bench USING (session_date) WHERE b IS NOT NULL AND session_date > DATE '1998-01-01')
-    SELECT portfolio_id, count(*) AS n, round(exp(sum(ln(1 + ret))) - 1, 6) AS twr, round(pow(exp(sum(ln(1 + ret))), 252.0 / count(*)) - 1, 6) AS ann_return, round(stddev_samp(ret) * sqrt(252), 6) AS ann_vol, round(avg(ret) / stddev_samp(ret) * sqrt(252), 5) AS sharpe,
-      round(covar_samp(ret, b) / var_samp(b), 5) AS beta, round((avg(ret) - covar_samp(ret, b) / var_samp(b) * avg(b)) * 252, 6) AS alpha, round(corr(ret, b), 6) AS corr, round(stddev_samp(x) * sqrt(252), 6) AS tracking_error, round(avg(x) / stddev_samp(x) * sqrt(252), 5) AS information_ratio,
-      round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END), 6) AS hit, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0 END), 6) AS batting, round(avg(ret) FILTER (ret > 0) / -avg(ret) FILTER (ret < 0), 5) AS slugging FROM j GROUP BY portfolio_id""",
+    SELECT portfolio_id, count(*) AS n, round(exp(sum(ln(1 + ret))) - 1, 6) AS twr, round(CASE WHEN count(*) >= 20 THEN pow(exp(sum(ln(1 + ret))), 252.0 / count(*)) - 1 END, 6) AS ann_return, round(CASE WHEN count(*) >= 20 THEN stddev_samp(ret) * sqrt(252) END, 6) AS ann_vol, round(CASE WHEN count(*) >= 20 THEN avg(ret) / stddev_samp(ret) * sqrt(252) END, 5) AS sharpe,
+      round(CASE WHEN count(*) >= 20 THEN covar_samp(ret, b) / var_samp(b) END, 5) AS beta, round(CASE WHEN count(*) >= 20 THEN (avg(ret) - covar_samp(ret, b) / var_samp(b) * avg(b)) * 252 END, 6) AS alpha, round(CASE WHEN count(*) >= 20 THEN corr(ret, b) END, 6) AS corr, round(CASE WHEN count(*) >= 20 THEN stddev_samp(x) * sqrt(252) END, 6) AS tracking_error, round(CASE WHEN count(*) >= 20 THEN avg(x) / stddev_samp(x) * sqrt(252) END, 5) AS information_ratio,
+      round(CASE WHEN count(*) >= 20 THEN avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) END, 6) AS hit, round(CASE WHEN count(*) >= 20 THEN avg(CASE WHEN x > 0 THEN 1.0 ELSE 0 END) END, 6) AS batting, round(CASE WHEN count(*) >= 20 THEN avg(ret) FILTER (ret > 0) / -avg(ret) FILTER (ret < 0) END, 5) AS slugging FROM j GROUP BY portfolio_id""",
 )
 def portfolio_performance(closes, weights, levels):
     bench = P.daily_returns(levels.where("region = 2").select(F.col("region").alias("entity"), "session_date", F.col("level").alias("close")))
@@ -246,7 +246,7 @@ def exposures(weights):
     "closes portfolio_weight",
     """, c AS (SELECT entity, max_by(close, session_date) AS close FROM closes GROUP BY entity), q AS (SELECT entity, close * (1 + entity / 1000.0) AS price, CAST(DATE '2001-12-01' - CAST(entity % 4 AS INTEGER) AS DATE) AS quoted_on FROM c WHERE entity % 6 <> 0),
     v AS (SELECT w.* FROM portfolio_weight w WHERE as_of_date = (SELECT max(as_of_date) FROM portfolio_weight x WHERE x.portfolio_id = w.portfolio_id))
-    SELECT portfolio_id, round(sum(weight * (price / close - 1)) / sum(abs(weight)) FILTER (price IS NOT NULL), 6) AS ret, round(sum(abs(weight)) FILTER (price IS NOT NULL) / sum(abs(weight)), 6) AS coverage, min(quoted_on) AS oldest, 'delayed' AS worst
+    SELECT portfolio_id, round(sum(weight * (price / close - 1)) / sum(abs(weight)) FILTER (price IS NOT NULL), 6) AS ret, round(sum(abs(weight)) FILTER (price IS NOT NULL) / sum(abs(weight)), 6) AS coverage, min(quoted_on) AS oldest, CASE WHEN count(price) = 0 THEN 'none' WHEN max(datediff('day', quoted_on, DATE '2001-12-01')) <= 1 THEN 'live' WHEN max(datediff('day', quoted_on, DATE '2001-12-01')) <= 4 THEN 'delayed' ELSE 'stale' END AS worst
     FROM v LEFT JOIN c USING (entity) LEFT JOIN q USING (entity) GROUP BY portfolio_id""",
 )
 def portfolio_live(closes, weights):
