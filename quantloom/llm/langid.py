@@ -156,7 +156,7 @@ def fit(lists: dict[str, dict[str, int]], calibration: dict[str, list[list[str]]
     return model
 
 
-def train(docs: DataFrame, docs_per_language: int = 1500, order: int = 5) -> Model | None:
+def train(docs: DataFrame, docs_per_language: int = 800, order: int = 5) -> Model | None:
     """Learns from docs(doc_id, text, lang); rows with a null doc_id, lang or text are left out."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null")
@@ -242,7 +242,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, schema)
 
 
-def known_language(docs: DataFrame, docs_per_language: int = 1500) -> DataFrame:
+def known_language(docs: DataFrame, docs_per_language: int = 800) -> DataFrame:
     """The documents, of the same columns, without those that the models reject; models learn from the rows
     that are not held out. A null lang becomes the predicted one. Without any labelled row all are kept."""
     docs_ = with_fold(docs)
