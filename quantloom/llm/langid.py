@@ -5,7 +5,7 @@ does not depend on its neighbours, so each distinct word is scored once. The mod
 sorted array of hashes per order, with a column per language: log probabilities, already interpolated for
 languages that lack the n-gram, and log back-off weights of contexts. The language with the least
 surprisal per character wins. It is rejected where its surprisal lies nearer to that of the calibration
-texts' words with their letters mixed up than to that of the words themselves.
+texts' words with their letters mixed up than to that of the words themselves, by three standard errors.
 
 The models are fitted on docs_per_language labelled texts of each language, about that many, chosen by a
 hash of doc_id; a fifth of them only calibrates. Every text is predicted whole.
@@ -229,7 +229,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                     best = h.argmin(axis=1)
                     least = h[np.arange(len(some)), best]
                     limit, spread = model.limits[best].T
-                    odd = least > limit + np.sqrt(spread / total[:, -1])
+                    odd = least > limit + 3 * np.sqrt(spread / total[:, -1])
                     sure = 1 / np.exp(-(h - least[:, None]) * np.sqrt(total[:, -1:])).sum(axis=1)
                     for i, b, s, x, z in zip(some, best.tolist(), sure.tolist(), least.tolist(), odd.tolist()):
                         lang[i], score[i], rate[i], rejected[i] = model.languages[b], s, x, z
