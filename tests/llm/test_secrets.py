@@ -35,7 +35,7 @@ def test_findings_and_redaction(spark):
     docs = spark.createDataFrame([(*r, len(r[1] or ""), 1.5) for r in rows], "doc_id long, text string, lang string, n_chars long, probability double")
     got = secrets.findings(docs).collect()
     assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
-    assert all(0.5 <= r.probability <= 1 for r in got)
+    assert all(0.3 <= r.probability <= 1 for r in got)
     clean = secrets.redacted(docs)
     assert clean.columns == docs.columns
     texts = [(r.doc_id, r.text, r.n_chars) for r in clean.collect()]
@@ -54,7 +54,7 @@ def test_held_out_findings(spark):
     columns = secrets.features(*(F.col(c) for c in ("match", "value", "kind", "left", "right")))
     out = rows.select("y", secrets.probability(forest, list(columns.values())).alias("p"), *(c.alias(k) for k, c in columns.items())).collect()
     y, p = np.array([r.y for r in out]), np.array([r.p for r in out])
-    assert ((p >= 0.5) == y).mean() >= 0.96
+    assert ((p >= 0.3) == y).mean() >= 0.96 and p[y == 1].min() > 0.1
 
     def brute(node, x):
         while not isinstance(node, float):
