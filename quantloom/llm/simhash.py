@@ -199,20 +199,46 @@ def near_pairs(points: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int,
                 near_pairs(points, x, x if same and d == e else y, max_bits, link, rng)
 
 
-def spanning_links(points: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(points: np.ndarray, home: np.ndarray, max_bits: int, own=None, p: int = 0, q: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Rows linked to another row, and the row that stands for their component."""
     forest, rng = Forest(len(points)), random.Random(len(points))
-    members, queries = np.flatnonzero(home), np.flatnonzero(~home)
-    near_pairs(points, members, members, max_bits, forest.link, rng)
-    near_pairs(points, members, queries, max_bits, forest.link, rng)
+    own = np.zeros(len(points), np.int64) if own is None else own
+    for a, b in pairs_of_blocks(home, own, p, q):
+        near_pairs(points, a, b, max_bits, forest.link, rng)
     forest.merge()
     rows = np.flatnonzero(forest.label != np.arange(len(points)))
     return rows, forest.label[rows]
 
 
-def link_fingerprints(nodes: DataFrame, max_bits: int = 2, leaf_rows: int = 16384, sample_rows: int = 16384) -> DataFrame:
+def in_blocks(sent: DataFrame, leaf: list[str], rows: int) -> DataFrame:
+    """Adds p, q and own: leaves of over rows rows, as dense groups make, are dealt to pairs of blocks, each pair
+    a group of its own; a row goes to all pairs of its block own. Other leaves are the one pair (0, 0)."""
+    large = stored(sent.groupBy(*leaf).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows), "large")
+    zero = F.lit(0).cast("long")
+    if large.isEmpty():
+        return sent.withColumns({"p": zero, "q": zero, "own": zero})
+    dealt = sent.join(large.select(*leaf, F.ceil(2 * F.col("n") / rows).alias("b")), leaf, "left")
+    own = F.when(F.col("b").isNull(), zero).otherwise(F.pmod(F.xxhash64("node"), F.col("b")))
+    others = F.when(F.col("b").isNull(), F.array(zero)).otherwise(F.sequence(zero, F.col("b") - 1))
+    dealt = dealt.withColumn("own", own).select(*sent.columns, "own", F.explode(others).alias("other"))
+    return dealt.select(*sent.columns, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own")
+
+
+def pairs_of_blocks(home: np.ndarray, own: np.ndarray, p: int, q: int):
+    """The pairs of row sets that a group compares: members with members, and members with queries."""
+    sides = [np.flatnonzero(own == x) for x in ((p,) if p == q else (p, q))]
+    if p == q:
+        rows = sides[0]
+        members = rows[home[rows]]
+        return [(members, members), (members, rows[~home[rows]])]
+    a, b = sides
+    return [(a[home[a]], b[home[b]]), (a[home[a]], b[~home[b]]), (b[home[b]], a[~home[a]])]
+
+
+def link_fingerprints(nodes: DataFrame, max_bits: int = 2, leaf_rows: int = 8192, sample_rows: int = 16384, task_rows: int = 65536) -> DataFrame:
     """Links among nodes (fp, node), fp distinct: (a, b) nodes that span the same components as all pairs
-    within max_bits. The routing tree is fitted on sample_rows fingerprints at most; every one is indexed."""
+    within max_bits. The routing tree is fitted on sample_rows fingerprints at most; every one is indexed. No
+    task holds many more rows than task_rows."""
     n = nodes.count()
     spark = nodes.sparkSession
     if n < 2:
@@ -232,11 +258,13 @@ def link_fingerprints(nodes: DataFrame, max_bits: int = 2, leaf_rows: int = 1638
     def search(leaf: pa.Table) -> pa.Table:
         node = np.asarray(leaf["node"])
         points = np.ascontiguousarray(np.asarray(leaf["fp"])).view(np.uint64)
-        a, b = spanning_links(points, np.asarray(leaf["home"]), max_bits)
+        own, p, q = np.asarray(leaf["own"]), leaf["p"][0].as_py(), leaf["q"][0].as_py()
+        a, b = spanning_links(points, np.asarray(leaf["home"]), max_bits, own, p, q)
         return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
 
     sent = nodes.select("fp", "node").mapInArrow(send, "leaf long, fp long, node long, home boolean")
-    return sent.groupBy("leaf").applyInArrow(search, "a long, b long")
+    sent = in_blocks(sent, ["leaf"], task_rows)
+    return sent.groupBy("leaf", "p", "q").applyInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, **parameters) -> DataFrame:
@@ -286,7 +314,7 @@ def bits_for(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: int = 4, leaf_rows: int = 2048, sample_rows: int = 16384) -> DataFrame:
+def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: int = 4, leaf_rows: int = 2048, sample_rows: int = 16384, task_rows: int = 32768) -> DataFrame:
     """Links (a, b) among nodes (wide, size, node) that span the components of pairs whose sets' similarity,
     estimated from 1024 bits, is high enough.
 
@@ -334,16 +362,16 @@ def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: in
                 found.link(x[ok], y[ok])
 
         first, rng = np.ascontiguousarray(wide[:, 0]), random.Random(len(node))
-        members, queries = np.flatnonzero(home), np.flatnonzero(~home)
-        near_pairs(first, members, members, near, link, rng)
-        near_pairs(first, members, queries, near, link, rng)
+        for a, b in pairs_of_blocks(home, np.asarray(leaf["own"]), leaf["p"][0].as_py(), leaf["q"][0].as_py()):
+            near_pairs(first, a, b, near, link, rng)
         found.merge()
         rows = np.flatnonzero(found.label != np.arange(len(node)))
         return pa.table({"a": pa.array(node[rows]), "b": pa.array(node[found.label[rows]])})
 
     schema = "tree long, band long, leaf long, wide binary, size long, node long, home boolean"
     sent = nodes.select("wide", "size", "node").mapInArrow(send, schema)
-    return sent.groupBy("tree", "band", "leaf").applyInArrow(search, "a long, b long")
+    sent = in_blocks(sent, ["tree", "band", "leaf"], task_rows)
+    return sent.groupBy("tree", "band", "leaf", "p", "q").applyInArrow(search, "a long, b long")
 
 
 def groups_of_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, **parameters) -> DataFrame:

@@ -33,8 +33,8 @@ def test_fingerprints():
     assert simhash.fingerprints(texts).tolist() == [brute_fingerprint(t) for t in texts]
 
 
-@pytest.mark.parametrize("leaf_rows", [8, 40, 10_000])
-def test_links_as_by_brute_force(spark, leaf_rows):
+@pytest.mark.parametrize("leaf_rows, task_rows", [(8, 65536), (40, 20), (10_000, 50)])
+def test_links_as_by_brute_force(spark, leaf_rows, task_rows):
     rng = random.Random(leaf_rows)
     fps = [rng.getrandbits(64) for _ in range(150)] + [0, 1, 3, 7]
     while len(fps) < 420:
@@ -46,7 +46,7 @@ def test_links_as_by_brute_force(spark, leaf_rows):
     want = brute_components(fps)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     nodes = spark.createDataFrame(list(zip(signed, range(len(fps)))), "fp long, node long").repartition(3)
-    got = dict(map(tuple, components(simhash.link_fingerprints(nodes, 2, leaf_rows, 64)).collect()))
+    got = dict(map(tuple, components(simhash.link_fingerprints(nodes, 2, leaf_rows, 64, task_rows)).collect()))
     assert [got.get(i, i) for i in range(len(fps))] == want
 
 
@@ -107,12 +107,12 @@ def near_copies(rng, n_base=40):
     return texts, lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
 
 
-@pytest.mark.parametrize("leaf_rows", [16, 2048])
-def test_similar_documents_as_by_brute_force(spark, leaf_rows):
+@pytest.mark.parametrize("leaf_rows, task_rows", [(16, 32768), (2048, 25)])
+def test_similar_documents_as_by_brute_force(spark, leaf_rows, task_rows):
     rng = random.Random(9)
     texts, similarity = near_copies(rng, 90)
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, size string").repartition(3)
-    got = {r.doc_id: r.component_id for r in simhash.groups_of_similar(docs, leaf_rows=leaf_rows).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.groups_of_similar(docs, leaf_rows=leaf_rows, task_rows=task_rows).collect()}
     pairs = [(similarity(i, j), got[i] == got[j]) for i in range(len(texts)) for j in range(i)]
     sure = [same for s, same in pairs if s >= 0.86]
     assert len(sure) > 20 and sum(sure) >= 0.98 * len(sure)
