@@ -7,6 +7,8 @@ is computed from them is DataFrame code here and plain SQL there.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -144,10 +146,21 @@ def with_frames(names, query: str, base=lambda t: t) -> str:
     return f"WITH {', '.join(parts)} {query}"
 
 
+_KEPT: dict = {}
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = with_frames([name], f"SELECT * FROM {name}", lambda t: "{" + t + "}")
-    used = [t for t in BASE if "{" + t + "}" in text]
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    """A frame, kept for the application as the table that it stands for; evicted parts are computed again."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        before, text = FRAMES[name]
+        text = text.format(**{t: "{" + t + "}" for t in BASE})
+        used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if "{" + t + "}" in text}
+        used |= {f"f_{b}": frame(spark, sf_dir, b) for b in before}
+        for b in before:
+            text = re.sub(rf"\b(FROM|JOIN) {b}\b", rf"\1 {{f_{b}}}", text)
+        _KEPT[key] = spark.sql(text, **used).persist()
+    return _KEPT[key]
 
 
 def oracle(names, query: str) -> str:

@@ -98,7 +98,8 @@ def _held(closes):
     dates = C.period_firsts(closes, "quarter").withColumnRenamed("session_date", "rebalance_date")
     value = _returns(closes, ["6M"]).select(F.col("as_of_date").alias("rebalance_date"), "entity", F.col("pr").alias("value")).join(F.broadcast(dates), "rebalance_date")
     roster = dates.crossJoin(F.broadcast(closes.select("entity").distinct()))
-    return B.weights(B.selected(B.covered(value, roster, least=10, share=0.0), top_n=5))
+    # holdings are names by rebalance dates, and are read five times
+    return B.weights(B.selected(B.covered(value, roster, least=10, share=0.0), top_n=5)).persist()
 
 
 @query("backtest_weights", "closes", SELECTED + " SELECT rebalance_date, entity, round(weight, 6) AS weight FROM held")
