@@ -224,15 +224,19 @@ def in_blocks(sent: DataFrame, leaf: list[str], rows: int) -> DataFrame:
     return dealt.select(*sent.columns, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own")
 
 
-def pairs_of_blocks(home: np.ndarray, own: np.ndarray, p: int, q: int):
-    """The pairs of row sets that a group compares: members with members, and members with queries."""
+def pairs_of_blocks(home: np.ndarray, own: np.ndarray, p: int, q: int, guest: np.ndarray | None = None):
+    """The pairs of row sets that a group compares: members with members, and members with queries. Guests are
+    members and queries too, but are compared with rows that are no guests only."""
+    guest = np.zeros(len(home), bool) if guest is None else guest
     sides = [np.flatnonzero(own == x) for x in ((p,) if p == q else (p, q))]
+    member, query, guest_member, guest_query = ([x[(home[x] == h) & (guest[x] == g)] for x in sides] for g in (False, True) for h in (True, False))
     if p == q:
-        rows = sides[0]
-        members = rows[home[rows]]
-        return [(members, members), (members, rows[~home[rows]])]
-    a, b = sides
-    return [(a[home[a]], b[home[b]]), (a[home[a]], b[~home[b]]), (b[home[b]], a[~home[a]])]
+        out = [(member[0], member[0])]
+    else:
+        out = [(member[0], member[1])]
+    for i, j in ((0, 0),) if p == q else ((0, 1), (1, 0)):
+        out += [(member[i], query[j]), (member[i], guest_member[j]), (member[i], guest_query[j]), (query[i], guest_member[j])]
+    return [(a, b) for a, b in out if len(a) and len(b)]
 
 
 def link_fingerprints(nodes: DataFrame, max_bits: int = 2, leaf_rows: int = 8192, sample_rows: int = 16384, task_rows: int = 65536) -> DataFrame:
@@ -342,10 +346,10 @@ def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: in
             first, band = word(wide.to_pylist())[:, 0], band_of(np.asarray(size))
             for t, tree in enumerate(forest):
                 for leaf, rows, home in routes(tree, first, reach):
-                    for up in (0, 1):  # in the band of larger sets, a query
+                    for up in (False, True):  # in the band of larger sets, a guest: at home there too, for the inner point of a pair across a border may be the larger set
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(rows), t)), pa.array(band[rows] + up), pa.array(np.full(len(rows), leaf)), wide.take(pa.array(rows)), size.take(pa.array(rows)), node.take(pa.array(rows)), pa.array(home & (up == 0))],
-                            ["tree", "band", "leaf", "wide", "size", "node", "home"],
+                            [pa.array(np.full(len(rows), t)), pa.array(band[rows] + up), pa.array(np.full(len(rows), leaf)), wide.take(pa.array(rows)), size.take(pa.array(rows)), node.take(pa.array(rows)), pa.array(home), pa.array(np.full(len(rows), up))],
+                            ["tree", "band", "leaf", "wide", "size", "node", "home", "guest"],
                         )
 
     def search(leaf: pa.Table) -> pa.Table:
@@ -362,13 +366,13 @@ def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: in
                 found.link(x[ok], y[ok])
 
         first, rng = np.ascontiguousarray(wide[:, 0]), random.Random(len(node))
-        for a, b in pairs_of_blocks(home, np.asarray(leaf["own"]), leaf["p"][0].as_py(), leaf["q"][0].as_py()):
+        for a, b in pairs_of_blocks(home, np.asarray(leaf["own"]), leaf["p"][0].as_py(), leaf["q"][0].as_py(), np.asarray(leaf["guest"])):
             near_pairs(first, a, b, near, link, rng)
         found.merge()
         rows = np.flatnonzero(found.label != np.arange(len(node)))
         return pa.table({"a": pa.array(node[rows]), "b": pa.array(node[found.label[rows]])})
 
-    schema = "tree long, band long, leaf long, wide binary, size long, node long, home boolean"
+    schema = "tree long, band long, leaf long, wide binary, size long, node long, home boolean, guest boolean"
     sent = nodes.select("wide", "size", "node").mapInArrow(send, schema)
     sent = in_blocks(sent, ["tree", "band", "leaf"], task_rows)
     return sent.groupBy("tree", "band", "leaf", "p", "q").applyInArrow(search, "a long, b long")

@@ -2,11 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from quantloom.llm import simhash
-from quantloom.llm.common import components
+from quantloom.llm.common import components, stored
 
 
 def brute_fingerprint(text):
@@ -119,6 +120,21 @@ def test_similar_documents_as_by_brute_force(spark, leaf_rows, task_rows):
     assert not any(same for s, same in pairs if s < 0.5)
 
 
+def test_similar_documents_of_neighbouring_bands(spark):
+    rng = random.Random(21)
+    texts, pairs = [], []
+    for _ in range(400):
+        base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(rng.randint(150, 330))]
+        pairs.append(len(texts))
+        texts += [" ".join(base), " ".join(base[: round(len(base) * rng.uniform(0.88, 0.95))])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    nodes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(n), b.column(0)], ["wide", "size", "node"]) for b in batches for w, n in [simhash.wide_fingerprints(b.column(1).to_pylist())]), "wide binary, size long, node long")
+    # within unlimited reach no pair is lost, whichever of the two lies inside
+    links = simhash.similar_links(stored(nodes, "nodes"), 0.8, trees=1, reach=64, leaf_rows=16)
+    got = dict(map(tuple, components(links).collect()))
+    assert [i for i in pairs if got.get(i + 1) != i] == []
+
+
 def test_one_of_each(spark):
     long = " ".join(f"w{i}" for i in range(3000))
     rows = [(3, "same old words here"), (1, "Same old  words HERE"), (2, None), (7, " "), (None, "same old words here"), (None, None), (1, "Same old  words HERE"), (9, long), (8, long + " end"), (4, "quite other words")]
