@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import random
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -210,10 +211,10 @@ def spanning_links(points: np.ndarray, home: np.ndarray, max_bits: int, own=None
     return rows, forest.label[rows]
 
 
-def in_blocks(sent: DataFrame, leaf: list[str], rows: int) -> DataFrame:
-    """Adds p, q and own: leaves of over rows rows, as dense groups make, are dealt to pairs of blocks, each pair
+def in_blocks(sent: DataFrame, leaf: list[str], rows: int, weight: str = "1") -> DataFrame:
+    """Adds p, q and own: leaves of over rows rows (by weight), as dense groups make, are dealt to pairs of blocks, each pair
     a group of its own; a row goes to all pairs of its block own. Other leaves are the one pair (0, 0)."""
-    large = stored(sent.groupBy(*leaf).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows), "large")
+    large = stored(sent.groupBy(*leaf).agg(F.sum(F.expr(weight).cast("long")).alias("n")).where(F.col("n") > rows), "large")
     zero = F.lit(0).cast("long")
     if large.isEmpty():
         return sent.withColumns({"p": zero, "q": zero, "own": zero})
@@ -292,9 +293,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, **parame
 WIDE = 16  # words of 64 bits
 
 
-def wide_fingerprints(texts: list[str | None], words: int = 5) -> tuple[list[bytes], np.ndarray]:
-    """1024-bit SimHash of each text's set of shingles, and the set's size; zeros for texts without words."""
-    out, sizes = [bytes(8 * WIDE)] * len(texts), np.zeros(len(texts), np.int64)
+BANDS, BAND = 10, 3  # keys of a set, and the least hashes in each
+
+
+def sketches(texts: list[str | None], words: int = 5) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes]]:
+    """Of each text's set of shingles: its 1024-bit SimHash, its size, BANDS keys, each of BAND least hashes, and
+    the sorted hashes themselves. Texts without words have zeros and no hashes."""
+    out, sizes, keys, sets = [bytes(8 * WIDE)] * len(texts), np.zeros(len(texts), np.int64), np.zeros((len(texts), BANDS), np.uint64), [b""] * len(texts)
     salts = np.random.default_rng(42).integers(0, 2**64, WIDE, np.uint64, endpoint=False)
     for i, text in enumerate(texts):
         w = (text or "").encode("utf-8").lower().split()
@@ -303,14 +308,25 @@ def wide_fingerprints(texts: list[str | None], words: int = 5) -> tuple[list[byt
         shingles = {b" ".join(w)} if len(w) < words else set(map(b" ".join, zip(*(w[k:] for k in range(words)))))
         n = sizes[i] = len(shingles)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
-        count = np.zeros(64 * WIDE, np.int32)
+        hashes.sort()
+        count, least = np.zeros(64 * WIDE, np.int32), np.full(2 * WIDE, 2**32 - 1, np.uint32)
         for at in range(0, n, 4096):
             h = hashes[at : at + 4096, None] ^ salts
             h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            count += np.unpackbits((h ^ (h >> np.uint64(31))).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
-        out[i] = np.packbits(2 * count > n).tobytes()
-    return out, sizes
+            h ^= h >> np.uint64(31)
+            count += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
+            least = np.minimum(least, h.view(np.uint32).min(axis=0))
+        out[i], sets[i] = np.packbits(2 * count > n).tobytes(), hashes.tobytes()
+        for j in least[: BANDS * BAND].reshape(BANDS, BAND).T.astype(np.uint64):
+            keys[i] = (keys[i] ^ j) * np.uint64(0x9E3779B97F4A7C15)
+            keys[i] ^= keys[i] >> np.uint64(29)
+    return out, sizes, keys.view(np.int64), sets
+
+
+def wide_fingerprints(texts: list[str | None], words: int = 5) -> tuple[list[bytes], np.ndarray]:
+    """1024-bit SimHash of each text's set of shingles, and the set's size; zeros for texts without words."""
+    return sketches(texts, words)[:2]
 
 
 def bits_for(similarity: float) -> float:
@@ -318,14 +334,45 @@ def bits_for(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+@lru_cache
+def shares(similarity: float, largest: int = 128) -> np.ndarray:
+    """The share of bits in which sets of this similarity are expected to differ at most, by the size of the
+    smaller set: exact up to largest, where a majority's ties tell, and the last place holds for all beyond."""
+    at_least = lambda n: np.cumsum([math.comb(n, x) / 2**n for x in range(n, -1, -1)])[::-1]
+    tails = [np.append(at_least(n), 0.0) for n in range(largest + 1)]
+
+    def set_bits(n: int, k: int) -> np.ndarray:  # P(a set of n has the bit | c of the k common ones have it)
+        need = np.clip(n // 2 + 1 - np.arange(k + 1), 0, n - k + 1)
+        return tails[n - k][need]
+
+    out = np.zeros(largest + 1)
+    for n in range(1, largest + 1):
+        for m in range(n, int(n / similarity + 1e-9) + 1):
+            k = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
+            if k <= n:
+                weight = np.array([math.comb(k, c) / 2**k for c in range(k + 1)])
+                a, b = set_bits(n, k), set_bits(m, k)
+                out[n] = max(out[n], float(weight @ (a * (1 - b) + b * (1 - a))))
+    out[largest] = max(out[largest // 2 :].max(), bits_for(similarity))
+    return out
+
+
+def bit_limits(similarity: float, bits: int) -> np.ndarray:
+    """How many of so many bits candidates differ in at most, by the smaller set's size: 3.3 standard errors more
+    than expected. What follows compares the sets themselves."""
+    share = shares(similarity)
+    return np.ceil(bits * share + 3.3 * np.sqrt(bits * share * (1 - share))).astype(np.int64)
+
+
 def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: int = 4, leaf_rows: int = 2048, sample_rows: int = 16384, task_rows: int = 32768) -> DataFrame:
-    """Links (a, b) among nodes (wide, size, node) that span the components of pairs whose sets' similarity,
-    estimated from 1024 bits, is high enough.
+    """Links (a, b) among nodes (wide, size, node and, if there, keys) that span the components of candidates:
+    pairs whose 1024 bits differ in no more than bit_limits() allows.
 
     Sets so similar differ in size by that factor at most: the distance from the empty set is the first
     vantage point's, and bounds exactly. Of 64 bits such pairs differ in so many that no triangle bound
     excludes a branch; a point therefore enters the branches that lie within reach of it only, in several
-    trees, and the recall this gives is measured by tests.
+    trees, and what that loses grows with their depth. Sets that share a key meet as well, whatever the number
+    of nodes: of pairs of similarity s that is 1 - (1 - s ** BAND) ** BANDS, 0.9992 at 0.8.
     """
     n = nodes.count()
     spark = nodes.sparkSession
@@ -337,8 +384,7 @@ def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: in
     # as many leaves as the fullest band of sizes needs
     fullest = np.unique(band_of(np.asarray(sample["size"])), return_counts=True)[1].max() / sample.num_rows
     forest = [routing_tree(points, max(1, math.ceil(n * fullest / leaf_rows)), seed) for seed in range(trees)]
-    far = 64 * bits_for(similarity)
-    near, wide_near = int(far + 3.3 * math.sqrt(far * (1 - far / 64))), 64 * WIDE * bits_for(similarity)
+    near, wide_near = bit_limits(similarity, 64), bit_limits(similarity, 64 * WIDE)
 
     def send(batches):
         for batch in batches:
@@ -348,52 +394,142 @@ def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: in
                 for leaf, rows, home in routes(tree, first, reach):
                     for up in (False, True):  # in the band of larger sets, a guest: at home there too, for the inner point of a pair across a border may be the larger set
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(rows), t)), pa.array(band[rows] + up), pa.array(np.full(len(rows), leaf)), wide.take(pa.array(rows)), size.take(pa.array(rows)), node.take(pa.array(rows)), pa.array(home), pa.array(np.full(len(rows), up))],
-                            ["tree", "band", "leaf", "wide", "size", "node", "home", "guest"],
+                            [pa.array(np.full(len(rows), t)), pa.array(band[rows] + up), pa.array(np.full(len(rows), leaf)), wide.take(pa.array(rows)), size.take(pa.array(rows)), node.take(pa.array(rows)), pa.array(home), pa.array(np.full(len(rows), up)), pa.array(np.zeros(len(rows), np.int64))],
+                            ["tree", "band", "leaf", "wide", "size", "node", "home", "guest", "key"],
                         )
 
     def search(leaf: pa.Table) -> pa.Table:
-        node, home = np.asarray(leaf["node"]), np.asarray(leaf["home"])
+        node, home, key = (np.asarray(leaf[c]) for c in ("node", "home", "key"))
         wide, size = word(leaf["wide"].to_pylist()), np.asarray(leaf["size"])
-        found = Forest(len(node))
+        own, p, q = np.asarray(leaf["own"]), leaf["p"][0].as_py(), leaf["q"][0].as_py()
+        found, last = Forest(len(node)), len(near) - 1
 
         def link(a, b):
             for at in range(0, len(a), 1 << 15):
                 x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
-                fits = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])
-                x, y = x[fits], y[fits]
-                ok = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int32) <= wide_near
+                least = np.minimum(size[x], size[y])
+                fits = least >= similarity * np.maximum(size[x], size[y]) - 1e-9
+                x, y, least = x[fits], y[fits], least[fits]
+                ok = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int32) <= wide_near[np.minimum(least, last)]
                 found.link(x[ok], y[ok])
 
         first, rng = np.ascontiguousarray(wide[:, 0]), random.Random(len(node))
-        for a, b in pairs_of_blocks(home, np.asarray(leaf["own"]), leaf["p"][0].as_py(), leaf["q"][0].as_py(), np.asarray(leaf["guest"])):
-            near_pairs(first, a, b, near, link, rng)
+        if leaf["tree"][0].as_py() < trees:
+            widest = int(near[np.unique(np.minimum(size, last))].max())
+            for a, b in pairs_of_blocks(home, own, p, q, np.asarray(leaf["guest"])):
+                near_pairs(first, a, b, widest, link, rng)
+        else:  # rows of equal keys
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+            sizes = np.diff(np.append(starts, len(order)))
+            few = np.repeat(sizes <= 64, sizes)
+            for d in range(1, min(64, int(sizes.max()))):
+                i = np.flatnonzero(few[d:] & (key[order[d:]] == key[order[:-d]]))
+                if not len(i):
+                    break
+                link(order[i], order[i + d])
+            for start, m in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
+                rows = order[start : start + m]
+                widest = int(near[np.unique(np.minimum(size[rows], last))].max())
+                for a, b in pairs_of_blocks(np.ones(len(node), bool)[rows], own[rows], p, q):
+                    a_ = rows[a]
+                    near_pairs(first, a_, a_ if a is b else rows[b], widest, link, rng)
         found.merge()
         rows = np.flatnonzero(found.label != np.arange(len(node)))
         return pa.table({"a": pa.array(node[rows]), "b": pa.array(node[found.label[rows]])})
 
-    schema = "tree long, band long, leaf long, wide binary, size long, node long, home boolean, guest boolean"
+    schema = "tree long, band long, leaf long, wide binary, size long, node long, home boolean, guest boolean, key long"
     sent = nodes.select("wide", "size", "node").mapInArrow(send, schema)
+    if "keys" in nodes.columns:
+        keyed = nodes.select("wide", "size", "node", F.posexplode("keys").alias("band", "key"))
+        tasks = max(1, -(-4 * n // task_rows))
+        sent = sent.unionByName(
+            keyed.select(
+                F.lit(trees).cast("long").alias("tree"), F.col("band").cast("long").alias("band"), F.pmod("key", F.lit(tasks)).cast("long").alias("leaf"),
+                "wide", "size", "node", F.lit(True).alias("home"), F.lit(False).alias("guest"), "key",
+            )
+        )
     sent = in_blocks(sent, ["tree", "band", "leaf"], task_rows)
     return sent.groupBy("tree", "band", "leaf", "p", "q").applyInArrow(search, "a long, b long")
 
 
+def confirmed_links(docs: DataFrame, groups: DataFrame, similarity: float, words: int, task_shingles: int = 1 << 23) -> DataFrame:
+    """Links (a, b) among doc_ids that span the components of pairs that are so similar by the sets themselves, of
+    groups (node, component) of candidates. No task holds many more than task_shingles."""
+
+    def run(batches):
+        for batch in batches:
+            component, node, texts = batch.columns
+            for at in range(0, len(texts), 256):
+                wide, sizes, _, sets = sketches(texts.slice(at, 256).to_pylist(), words)
+                yield pa.RecordBatch.from_arrays(
+                    [component.slice(at, 256), node.slice(at, 256), pa.array(wide, pa.binary()), pa.array(sizes), pa.array(sets, pa.binary())],
+                    ["component", "node", "wide", "size", "shingles"],
+                )
+
+    def search(group: pa.Table) -> pa.Table:
+        node, size = np.asarray(group["node"]), np.asarray(group["size"])
+        wide = np.frombuffer(b"".join(group["wide"].to_pylist()), "<u8").reshape(-1, WIDE)
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
+        found, last = Forest(len(node)), len(near) - 1
+
+        def alike(x: int, y: int) -> bool:
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            return common >= similarity * (size[x] + size[y] - common) - 1e-9
+
+        def link(a, b):
+            for at in range(0, len(a), 1 << 15):
+                x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+                least = np.minimum(size[x], size[y])
+                open_ = least >= similarity * np.maximum(size[x], size[y]) - 1e-9
+                open_ &= np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int32) <= wide_near[np.minimum(least, last)]
+                x, y = x[open_], y[open_]
+                while len(x):  # one pair of each set of linked rows is compared, until none is left that could link more
+                    apart = found.label[x] != found.label[y]
+                    x, y = x[apart], y[apart]
+                    if not len(x):
+                        break
+                    _, one = np.unique(np.maximum(found.label[x], found.label[y]), return_index=True)
+                    ok = np.array([alike(i, j) for i, j in zip(x[one].tolist(), y[one].tolist())], bool)
+                    found.link(x[one][ok], y[one][ok])
+                    found.merge()
+                    x, y = np.delete(x, one), np.delete(y, one)
+
+        first, rng = np.ascontiguousarray(wide[:, 0]), random.Random(len(node))
+        widest = int(near[np.unique(np.minimum(size, last))].max())
+        for a, b in pairs_of_blocks(np.ones(len(node), bool), np.asarray(group["own"]), group["p"][0].as_py(), group["q"][0].as_py()):
+            near_pairs(first, a, b, widest, link, rng)
+        rows = np.flatnonzero(found.label != np.arange(len(node)))
+        return pa.table({"a": pa.array(node[rows]), "b": pa.array(node[found.label[rows]])})
+
+    near, wide_near = bit_limits(similarity, 64), bit_limits(similarity, 64 * WIDE)
+    members = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
+    texts = docs.select("doc_id", "text").join(members.hint("merge"), F.col("doc_id") == F.col("node")).select("component", "node", "text")
+    sets = texts.mapInArrow(run, "component long, node long, wide binary, size long, shingles binary")
+    sets = sets.groupBy("component", "node", "wide", "size").agg(F.min("shingles").alias("shingles"))
+    sets = in_blocks(stored(sets, "shingles"), ["component"], task_shingles, "size + 64")
+    return sets.groupBy("component", "p", "q").applyInArrow(search, "a long, b long")
+
+
 def groups_of_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, **parameters) -> DataFrame:
     """(doc_id, text) -> (doc_id, component_id, n), a row for each doc_id that is not null: the smallest doc_id
-    of its group of near-duplicates, and how many rows have the doc_id. Rows that repeat a doc_id are one
+    of its group of near-duplicates, by the sets of shingles themselves, and how many rows have the doc_id. Rows that repeat a doc_id are one
     document; texts without words are one group."""
 
     def run(batches):
         for batch in batches:
             doc_ids, texts = batch.columns
             for at in range(0, len(texts), 256):
-                wide, sizes = wide_fingerprints(texts.slice(at, 256).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, 256), pa.array(wide, pa.binary()), pa.array(sizes)], ["doc_id", "wide", "size"])
+                wide, sizes, keys, _ = sketches(texts.slice(at, 256).to_pylist(), words)
+                yield pa.RecordBatch.from_arrays(
+                    [doc_ids.slice(at, 256), pa.array(wide, pa.binary()), pa.array(sizes), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "wide", "size", "keys"]
+                )
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, wide binary, size long")
+    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, wide binary, size long, keys array<bigint>")
     rows = stored(rows, "wide")
     nodes = stored(rows.groupBy("wide", "size").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(similar_links(nodes, similarity, **parameters))
+    candidates = components(similar_links(nodes, similarity, **parameters))
+    found = components(confirmed_links(docs, candidates, similarity, words))
     labelled = nodes.join(found, "node", "left").select("wide", "size", F.coalesce("component", "node").alias("component_id"))
     out = rows.join(labelled, ["wide", "size"]).groupBy("doc_id")
     return stored(out.agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")

@@ -135,6 +135,37 @@ def test_similar_documents_of_neighbouring_bands(spark):
     assert [i for i in pairs if got.get(i + 1) != i] == []
 
 
+def test_sets_decide(spark):
+    """A text with words appended is a near-copy exactly when its set of shingles is similar enough."""
+    texts, want = [], []
+    for o in range(24):
+        for n, more in ((4, 1), (5, 1), (6, 1), (3, 1), (40, 10), (40, 11), (80, 20), (80, 22)):
+            base = [f"w{o}x{n}x{more}x{i}" for i in range(n + 4)]
+            want += [] if n / (n + more) < 0.8 else [len(texts)]
+            texts += [" ".join(base), " ".join(base + [f"t{i}" for i in range(more)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.component_id for r in simhash.groups_of_similar(docs).collect()}
+    assert [i for i in range(0, len(texts), 2) if got[i + 1] == i] == want
+
+
+def test_dense_groups_are_confirmed_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:k] + [f"x{n}"] + base[k + 1 :]) for n in range(90) for k in [rng.randrange(60)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = spark.createDataFrame([(i, 0) for i in range(1, 90)], "node long, component long")
+    links = simhash.confirmed_links(docs, groups, 0.8, 5, task_shingles=2000)
+    got = dict(map(tuple, components(links).collect()))
+    sets = [{" ".join(w[i : i + 5]) for i in range(56)} for w in map(str.split, texts)]
+    label = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert [got.get(i, i) for i in range(90)] == label
+
+
 def test_one_of_each(spark):
     long = " ".join(f"w{i}" for i in range(3000))
     rows = [(3, "same old words here"), (1, "Same old  words HERE"), (2, None), (7, " "), (None, "same old words here"), (None, None), (1, "Same old  words HERE"), (9, long), (8, long + " end"), (4, "quite other words")]
