@@ -527,7 +527,7 @@ def groups_of_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5,
 
     rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, wide binary, size long, keys array<bigint>")
     rows = stored(rows, "wide")
-    nodes = stored(rows.groupBy("wide", "size").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = stored(rows.groupBy("wide", "size").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")), "nodes")
     candidates = components(similar_links(nodes, similarity, **parameters))
     found = components(confirmed_links(docs, candidates, similarity, words))
     labelled = nodes.join(found, "node", "left").select("wide", "size", F.coalesce("component", "node").alias("component_id"))

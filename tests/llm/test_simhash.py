@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -166,6 +167,23 @@ def test_dense_groups_are_confirmed_in_blocks(spark, monkeypatch):
     assert [got.get(i, i) for i in range(90)] == label
 
 
+def test_recall_in_deep_trees(spark):
+    """Pairs of similarity 0.8 to 0.88 in leaves of 8 rows, so that most borders lie within few bits of a pair."""
+    rng = random.Random(31)
+    texts, pairs = [], []
+    for _ in range(800):
+        base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(rng.randint(100, 140))]
+        n = len(base) - 4
+        cut = rng.randint(math.ceil(0.06 * n), math.floor(0.11 * n))  # words of an end, replaced
+        copy = base[: len(base) - cut] + ["".join(rng.choices("abcdefgh", k=6)) for _ in range(cut)]
+        assert 0.8 <= (n - cut) / (n + cut) < 0.89
+        pairs.append(len(texts))
+        texts += [" ".join(base), " ".join(copy)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.groups_of_similar(docs, leaf_rows=8).collect()}
+    assert sum(got[i + 1] == i for i in pairs) >= 0.995 * len(pairs)
+
+
 def test_one_of_each(spark):
     long = " ".join(f"w{i}" for i in range(3000))
     rows = [(3, "same old words here"), (1, "Same old  words HERE"), (2, None), (7, " "), (None, "same old words here"), (None, None), (1, "Same old  words HERE"), (9, long), (8, long + " end"), (4, "quite other words")]
