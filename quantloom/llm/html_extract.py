@@ -39,6 +39,7 @@ TAGS = (
     "html body main article section div header nav footer aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dd dt blockquote pre "
     "table tr td th figure figcaption a b i em strong span code sup sub label menu center other"
 ).split()
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = {t: i for i, t in enumerate(TAGS)}
 _ALIAS = {"tbody": "table", "thead": "table", "tfoot": "table", "address": "footer", "hgroup": "div", "search": "form", "fieldset": "form", "dir": "ul"}
 _SECTIONS = frozenset("html body main article section div header nav footer aside form ul ol dl table menu center".split())
@@ -91,11 +92,21 @@ class Page:
         self.parents, self.features, self.kinds, self.labels, self.links, self.pieces = [-1], [(_TAG["html"],)], [0], [None], [False], []
         names, stack, sides, block, at = ["html"], [0], [0], 0, 0
         lower, missing = None, set()
+        # where open elements of a name, and blocks, lie in the stack, so that no tag looks through a deep one
+        places: dict[str, list[int]] = {}
+        blocks: list[int] = []
+
+        def topmost(names_) -> int:
+            return max((places[x][-1] for x in names_ if places.get(x)), default=0)
 
         def pop_to(depth: int):
             nonlocal block
-            if any(names[e] in BLOCK for e in stack[depth:]):
+            if blocks and blocks[-1] >= depth:
                 block += 1
+            for e in reversed(stack[depth:]):
+                places[names[e]].pop()
+                if names[e] in BLOCK:
+                    blocks.pop()
             del stack[depth:]
 
         for m in _TOKEN.finditer(source):
@@ -112,14 +123,12 @@ class Page:
                 continue
             name = name.lower()
             if m[1]:
-                if name == "p" and not any(names[e] == "p" for e in stack):
+                if name == "p" and not places.get("p"):
                     block += 1
-                for depth in range(len(stack) - 1, 0, -1):
-                    if names[stack[depth]] == name:
-                        pop_to(depth)
-                        break
-                    if name not in BLOCK and names[stack[depth]] in BLOCK:
-                        break
+                depth = topmost((name,))
+                # the end tag of an inline element does not reach beyond the block around it
+                if depth and (name in BLOCK or not blocks or depth > blocks[-1]):
+                    pop_to(depth)
                 continue
             if name in RAW and not m[3].endswith("/"):
                 if name not in missing:
@@ -144,21 +153,19 @@ class Page:
             if name in VOID:
                 block += name == "hr"
                 continue
-            if name in ("html", "head") or name == "body" and any(names[e] == "body" for e in stack):
+            if name in ("html", "head") or name == "body" and places.get("body"):
                 continue
             if name in BLOCK:
                 block += 1
                 closed, bound = CLOSES.get(name, ((), ()))
-                for depth in range(len(stack) - 1, 0, -1):
+                targets = {"p", *closed, *(HEADINGS if name in HEADINGS else ())}
+                while depth := topmost(targets):
+                    if depth < (topmost(bound) if closed else blocks[-1]):
+                        break
                     inside = names[stack[depth]]
-                    if inside in closed or inside == "p" or inside[0] == "h" and inside[1:].isdigit() and name[0] == "h" and name[1:].isdigit():
-                        pop_to(depth)
-                        if inside in closed or not closed:
-                            break
-                    elif inside in bound or inside in BLOCK and not closed:
+                    pop_to(depth)
+                    if inside in closed or not closed:
                         break
-            if len(stack) >= 300:  # deeper elements are their 300th ancestor's text
-                continue
             on, kind, label = _static(name, m[3])
             self.parents.append(stack[-1])
             self.features.append(on)
@@ -167,6 +174,9 @@ class Page:
             self.labels.append(label)
             self.links.append(name == "a" or self.links[stack[-1]])
             names.append(name)
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                blocks.append(len(stack))
             stack.append(len(names) - 1)
         if at < len(source):
             rest = source[at:]
@@ -304,6 +314,11 @@ def labelled_page(rng: random.Random) -> str:
                 text += " " + el(tag, keep, words(1, 5)) + " " + words(1, 12)
         return text
 
+    def nested(inside, keep):
+        for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 12])):
+            inside = el(rng.choice(["div", "div", "div", "section", "span"]), keep, inside)
+        return inside
+
     def menu():
         items = links(2, 9)
         if rng.random() < 0.6:
@@ -330,7 +345,7 @@ def labelled_page(rng: random.Random) -> str:
     def content():
         kind = rng.random()
         if kind < 0.72:
-            return el("p", 1, prose(1))
+            return el("p", 1, prose(1)) if rng.random() < 0.93 else nested(el("p", 1, prose(1)), 1)
         if kind < 0.8:
             return el(rng.choice(["h2", "h3", "h4"]), 1, words(1, 8))
         if kind < 0.88:
@@ -341,7 +356,7 @@ def labelled_page(rng: random.Random) -> str:
             return el("table", 1, "".join(el("tr", 1, "".join(el(rng.choice(["td", "th"]), 1, words(1, 4)) for _ in range(3))) for _ in range(rng.randint(1, 4))))
         if kind < 0.97:
             return el("figure", 1, '<img src="x">' + el("figcaption", 1, words(2, 12)))
-        return el("pre", 1, words(3, 20)) if rng.random() < 0.5 else el("div", 1, prose(1))
+        return el("pre", 1, words(3, 20)) if rng.random() < 0.5 else nested(el(rng.choice(["p", "div"]), 1, prose(1)), 1)
 
     parts = [el("h1", 1, words(1, 10))] if rng.random() < 0.8 else []
     if parts and rng.random() < 0.3:
@@ -369,6 +384,8 @@ def labelled_page(rng: random.Random) -> str:
         before.insert(0, el("header", 0, rng.choice([menu(), el("h2", 0, words(1, 3)), el("p", 0, words(2, 8)), el("a", 0, words(1, 3), "logo") + menu()]), "header", "masthead", "top", ""))
     after = [f() for f in (comments, side, advert, form, menu) if rng.random() < 0.3]
     after.append(el(rng.choice(["footer", "footer", "footer", "div"]), 0, rng.choice([words(2, 20), el("p", 0, words(2, 25)), " ".join(links(1, 5)) + words(2, 9)]), "footer", "site-footer", "copyright"))
+    if rng.random() < 0.1:
+        body, after[-1] = nested(body, 1), nested(after[-1], 0)
     rng.shuffle(before)
     return f"<html><head><title>{words(1, 9)}</title></head><body>{''.join(before)}{body}{''.join(after)}</body></html>"
 

@@ -29,6 +29,20 @@ def test_parsing_and_text():
 def test_hostile_pages_are_linear():
     for bad in ("<a '", '<a "', "<", "<!--", "<script>", "&", "<p <p ", "</"):
         keep_all(bad * 30_000)
+    n = 30_000
+    for bad in ("<i>" * n + "<li></li>" * n, "<a><div>" + "<i>" * n + "</a>" * n, "<div>" * n + "</p>" * n + "<p>" * n, "<div>" * n + "</span>" * n):
+        keep_all(bad)
+
+
+def test_no_depth_loses_text():
+    model = H.trained()
+    around = lambda d: PAGE.replace("<article>", "<div>" * d + "<article>").replace("</article>", "</article>" + "</div>" * d)
+    within = lambda d: PAGE.replace("<p>Yes.</p>", "<div>" * d + "<p>Yes, and more words of it here.</p>" + "</div>" * d + "<p>And so it ends, in these words.</p>")
+    for page in (around, within):
+        want = H.texts_of([page(0)], model)
+        assert "Yes" in want[0] and "cookies" not in want[0]
+        for depth in (1, 10, 299, 310, 5000):
+            assert H.texts_of([page(depth)], model) == want
 
 
 def test_marginals_as_by_brute_force():
