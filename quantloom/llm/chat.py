@@ -175,7 +175,7 @@ def formatted(chats: DataFrame) -> DataFrame:
 def read_back(chats: DataFrame) -> DataFrame:
     """(text, loss, ...) -> turns and loss_text besides, from the formatted text alone."""
     parts = F.split("text", "</turn>\n", -1)
-    head = r"(?s)^### ((?:[^\\:]|\\.)*):\n(.*)$"
+    head = r"(?s)^### ((?:[^\\:]++|\\.)*+):\n(.*)$"  # possessive: the matcher loops, and a long role takes no stack
     turn = lambda t: F.struct(unescape(F.regexp_extract(t, head, 1)).alias("role"), unescape(F.regexp_extract(t, head, 2)).alias("text"))
     under = F.transform("loss", lambda s: unescape(F.col("text").substr(s.start + 1, s.length)))
     return chats.withColumns({"turns": F.transform(F.slice(parts, 1, F.size(parts) - 1), turn), "loss_text": F.array_join(under, "")})

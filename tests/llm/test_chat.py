@@ -75,6 +75,13 @@ def test_rows_of_turns(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_long_roles(spark):
+    roles = ["r" * 1_000_000, ":" * 200_000, "\\#:\n</turn>" * 50_000, "a:\n" * 100_000]
+    rows = [(i, 0, role, "text " * 100_000) for i, role in enumerate(roles)]
+    out = chat.read_back(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert len(out) == len(roles) and all([tuple(t) for t in r.turns] == [(roles[r.conv_id], "text " * 100_000)] for r in out)
+
+
 @pytest.mark.parametrize("seed", range(1))
 def test_any_text_comes_back(spark, seed):
     pieces = st.sampled_from(["\\", "#", "###", "<", "/", "</turn>", "turn>", "\n", "### assistant:\n", ":", "$1", "é", "🙂", " ", "a"])
