@@ -24,13 +24,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")  # of letters, and of numerals that are no digits, such as a half
 _START, _END, _PRIME = 2, 3, np.uint64(0x9E3779B97F4A7C15)
 _CACHE_WORDS = 500_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+    """The runs of letters (general category L) in lower case."""
+    runs = _RUNS.findall((text or "").lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def _marked(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,8 +125,8 @@ class Model:
         return np.column_stack([-np.add.reduceat(log_p, ends - (sizes - 1), axis=0), sizes - 1])
 
 
-def fit(lists: dict[str, dict[str, int]], calibration: dict[str, list[list[str]]], order: int = 5, calibration_words: int = 20_000) -> Model:
-    """Fits a model to {language: {word: count}}, and its rejection to so many words of {language: [words of a text]}."""
+def fit(lists: dict[str, dict[str, int]], calibration: dict[str, dict[str, int]], order: int = 5, calibration_words: int = 20_000) -> Model:
+    """Fits a model to {language: {word: count}}, and its rejection to so many distinct words at most of others."""
     languages = sorted(lists)
     alphabet = len({c for words in lists.values() for w in words for c in w}) + 2
     parts = [
@@ -146,17 +150,19 @@ def fit(lists: dict[str, dict[str, int]], calibration: dict[str, list[list[str]]
     model = Model(languages, order, floor, grams, contexts, np.zeros((len(languages), 2)))
     rng = random.Random(order)
     for j, x in enumerate(languages):
-        words = [w for t in calibration.get(x, []) for w in t] or list(lists[x])
+        counts = calibration.get(x) or lists[x]
+        words = sorted(counts)
         words = rng.sample(words, calibration_words) if len(words) > calibration_words else words
+        n = np.fromiter(map(counts.__getitem__, words), float, len(words))
         own = model.surprisal(words)[:, [j, -1]]
         mixed = model.surprisal(["".join(rng.sample(w, len(w))) for w in words])
-        mean = own[:, 0].sum() / own[:, 1].sum()
-        spread = ((own[:, 0] - mean * own[:, 1]) ** 2).sum() / own[:, 1].sum()
-        model.limits[j] = (mean + mixed[:, :-1].min(axis=1).sum() / mixed[:, -1].sum()) / 2, spread
+        mean = n @ own[:, 0] / (n @ own[:, 1])
+        spread = n @ (own[:, 0] - mean * own[:, 1]) ** 2 / (n @ own[:, 1])
+        model.limits[j] = (mean + n @ mixed[:, :-1].min(axis=1) / (n @ mixed[:, -1])) / 2, spread
     return model
 
 
-def train(docs: DataFrame, docs_per_language: int = 800, order: int = 5) -> Model | None:
+def train(docs: DataFrame, docs_per_language: int = 1500, order: int = 5) -> Model | None:
     """Learns from docs(doc_id, text, lang); rows with a null doc_id, lang or text are left out."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null")
@@ -167,25 +173,22 @@ def train(docs: DataFrame, docs_per_language: int = 800, order: int = 5) -> Mode
     dice = (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000).alias("dice")
     chosen = docs.join(F.broadcast(shares), "lang").where(dice < F.col("share"))
     chosen = chosen.select("lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("calibrates"))
-    counted = chosen.where("not calibrates")
 
     def count(batches):
         for batch in batches:
-            for lang, text, _ in zip(*(c.to_pylist() for c in batch.columns)):
+            for lang, text, calibrates in zip(*(c.to_pylist() for c in batch.columns)):
                 words, n = np.unique(np.array(words_of(text), object), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(words), pa.string()), pa.array(words.tolist(), pa.string()), pa.array(n, pa.int64())],
-                    ["lang", "word", "n"],
+                    [pa.array([lang] * len(words), pa.string()), pa.array([calibrates] * len(words), pa.bool_()), pa.array(words.tolist(), pa.string()), pa.array(n, pa.int64())],
+                    ["lang", "calibrates", "word", "n"],
                 )
 
     lists: dict[str, dict[str, int]] = {}
-    pairs = counted.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    got = pairs.toArrow()
-    for lang, word, n in zip(*(got[c].to_pylist() for c in ("lang", "word", "n"))):
-        lists.setdefault(lang, {})[word] = n
-    calibration: dict[str, list[list[str]]] = {}
-    for r in chosen.where("calibrates").select("lang", "text").toArrow().to_pylist():
-        calibration.setdefault(r["lang"], []).append(words_of(r["text"]))
+    calibration: dict[str, dict[str, int]] = {}
+    pairs = chosen.mapInArrow(count, "lang string, calibrates boolean, word string, n long")
+    for batch in pairs.groupBy("lang", "calibrates", "word").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        for lang, calibrates, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            (calibration if calibrates else lists).setdefault(lang, {})[word] = n
     lists = {x: dict(sorted(words.items())) for x, words in lists.items()}
     return fit(lists, calibration, order) if lists else None
 
@@ -242,7 +245,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, schema)
 
 
-def known_language(docs: DataFrame, docs_per_language: int = 800) -> DataFrame:
+def known_language(docs: DataFrame, docs_per_language: int = 1500) -> DataFrame:
     """The documents, of the same columns, without those that the models reject; models learn from the rows
     that are not held out. A null lang becomes the predicted one. Without any labelled row all are kept."""
     docs_ = with_fold(docs)

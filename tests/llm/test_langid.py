@@ -63,7 +63,7 @@ def test_held_out_accuracy_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(langid, "_CACHE_WORDS", 100)
     rng = random.Random(4)
     rows = [(i, some_text(x, rng, rng.randint(3, 200)), x, "s") for i, x in enumerate(rng.choices(list(SYLLABLES), [8, 1, 1], k=300))]
-    odd = [(1000, None, "aa", "s"), (1001, "", "bb", "s"), (1002, "12 _ !", None, "s"), (None, "ka lo mi", "cc", "s"), (1003, "wxyz qqvw " * 50, None, "s"), (1004, "Éaoi " * 20_000, None, "s"), (1004, "Éaoi " * 20_000, None, "s")]
+    odd = [(1000, None, "aa", "s"), (1001, "", "bb", "s"), (1002, "12 _ !", None, "s"), (1005, "\u00bd \u00b2 \u2460 \u2167 \u0301", "aa", "s"), (None, "ka lo mi", "cc", "s"), (1003, "wxyz qqvw " * 50, None, "s"), (1004, "Éaoi " * 20_000, None, "s"), (1004, "Éaoi " * 20_000, None, "s")]
     docs = langid.with_fold(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, score string").repartition(3))
     out = langid.predict(docs, langid.train(docs.where("not held_out"), 200), ["doc_id", "held_out"]).collect()
     assert len(out) == len(rows) + len(odd)
@@ -71,12 +71,17 @@ def test_held_out_accuracy_and_odd_rows(spark, monkeypatch):
     held = [got[i].lang_pred == lang for i, _, lang, _ in rows if got[i].held_out]
     assert len(held) > 40 and sum(held) >= 0.98 * len(held)
     assert not any(got[i].rejected for i, *_ in rows)
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (1000, 1001, 1002))
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (1000, 1001, 1002, 1005))
     assert got[None].lang_pred == "aa" and got[None].held_out is False
     assert got[1003].rejected and got[1004].lang_pred == "cc" and not got[1004].rejected
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_words_are_runs_of_letters():
+    assert langid.words_of("Aé1b\u00bdc x_y \u2167z don't \u4f60\u597d") == ["aé", "b", "c", "x", "y", "z", "don", "t", "\u4f60\u597d"]
+    assert langid.words_of("\u00bd\u00b2\u2460 12") == langid.words_of(None) == []
+
+
 def test_empty_table_and_no_labels(spark):
     docs = langid.with_fold(spark.createDataFrame([(1, "ka", None)], "doc_id long, text string, lang string"))
     assert langid.train(docs) is None
