@@ -9,16 +9,11 @@ from quantloom.llm import topk
 
 
 def brute(rows, k, every):
-    vectors = {}
-    for i, v in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        vectors[i] = min(vectors.get(i, v), v)
-    whole = {i: [math.floor(64 * x) for x in v] for i, v in vectors.items()}
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in whole:
+    for at, (q, u) in enumerate(whole):
         if q % every == 0:
-            found = [(-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])]
+            found = [(-sum(a * b for a, b in zip(u, v)), i) for n, (i, v) in enumerate(whole) if n != at and len(v) == len(u)]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(found)[:k], 1)]
     return sorted(out)
 
@@ -41,11 +36,33 @@ def test_pruning_keeps_ties_and_blocks(monkeypatch):
     v = rng.integers(-3, 4, (300, 12)) * (rng.random((300, 12)) < 0.3)
     ids = rng.permutation(300)
     q, q_ids = v[:40].astype(float), ids[:40]
-    row, found, score = topk.search(q, q_ids, v.astype(float), ids, 5)
-    for i in range(40):
-        s = v @ v[i]
-        want = sorted((-s[j], ids[j]) for j in range(300) if ids[j] != q_ids[i])[:5]
+    numbers = np.arange(300)
+    for floor in (None, np.array([sorted(v @ v[i])[-9] for i in range(40)])):
+        row, found, score = topk.search(q, (numbers[:40], q_ids), v.astype(float), (numbers, ids), 5, floor)
+        for i in range(40):
+            s = v @ v[i]
+            want = sorted((-s[j], ids[j]) for j in range(300) if j != i)[:5]
+            assert [(-a, ids[b]) for a, b in zip(score[row == i], found[row == i])] == want
+
+
+def test_terms_of_small_bounds_are_not_traversed(monkeypatch):
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(4000, 32)) * 60 * 0.9 ** np.arange(32))
+    seen, sums = [], topk._sums
+    monkeypatch.setattr(topk, "_sums", lambda q, p: seen.append(q.any(axis=0).sum()) or sums(q, p))
+    numbers = np.arange(4000)
+    row, found, score = topk.search(v[:64], (numbers[:64], numbers[:64]), v, (numbers, numbers), 5)
+    for i in range(64):
+        want = sorted((-s, j) for j, s in enumerate(v @ v[i]) if j != i)[:5]
         assert [(-a, b) for a, b in zip(score[row == i], found[row == i])] == want
+    assert seen[0] == 32 and max(seen[1:]) < 24
+
+
+def test_rows_that_repeat_a_vec_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [2.0, 1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5])]
+    df = spark.createDataFrame([(*r, 7, 7) for r in rows], "vec_id long, embedding array<double>, number long, query_id long")
+    for shard_rows in (2, 100):
+        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, shard_rows=shard_rows).collect())) == brute(rows, 20, 20)
 
 
 def test_few_rows(spark):
