@@ -13,9 +13,14 @@ later-made of the two:
     p = t = (u, v)                              as state(v) had an arc u just before
     both bytes                                  an arc
 
-which gives the same table as the 50,000 gadgets done one by one, without the copies; entries are filled
-in when a word first needs them. A word's tokens are the one accepted path that spells it: arcs are tried
-from the longest, and a position that leads nowhere is not entered again. Decoding emits the arcs' labels.
+which gives the same table as the 50,000 gadgets done one by one, without the copies: the gadgets are compiled
+in order, each against the automaton of those before it, and a pair's entry is kept once it is known.
+
+To read bytes, labels are compiled into a table of gotos, each node with the tokens that end there, longest
+first. As the accepted paths are closed under taking the last token off, each prefix of a word has one path,
+and reading a byte has one outcome: of the tokens that end there, the one to which the state at its beginning
+has an arc. So every byte is one transition, nothing is undone, and a word's tokens are those that lead back
+from its end. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, tokenizer_path
 
 _CACHE_WORDS = 300_000
+_KEPT_ARCS = 2_000_000
 _CODERS: dict = {}
 
 
@@ -60,15 +66,32 @@ class Automaton:
                 continue
             self.merged[u, v] = time
             self.made[w], self.parts[w] = time, (u, v)
-        self.spelled: dict = {}
+        self.arcs.clear()
+        # the tables: goto by node and byte, where to go on without one, and each node's longest token
+        self.goto: dict[int, int] = {}
+        self.token, depth = [-1], [0]
         for token, label in labels.items():
             if token not in dead and (len(label) == 1 or token in self.parts):
-                node = self.spelled
+                node = 0
                 for byte in label:
-                    node = node.setdefault(byte, {})
-                node[-1] = token
-        self.shorter: dict[int, int | None] = {}
-        self.arcs.clear()
+                    to = self.goto.get(node << 8 | byte)
+                    if to is None:
+                        to = self.goto[node << 8 | byte] = len(self.token)
+                        self.token.append(-1)
+                        depth.append(depth[node] + 1)
+                    node = to
+                self.token[node] = token
+        self.fail, self.next = [0] * len(depth), [0] * len(depth)
+        for key, node in sorted(self.goto.items(), key=lambda x: depth[x[1]]):
+            above, byte = key >> 8, key & 255
+            while above:
+                above = self.fail[above]
+                if (to := self.goto.get(above << 8 | byte)) is not None:
+                    self.fail[node] = to
+                    break
+            fail = self.fail[node]
+            self.next[node] = fail if self.token[fail] >= 0 else self.next[fail]
+        self.size = {t: len(x) for t, x in labels.items()}
 
     def arc(self, p: int, t: int, time: int) -> bool:
         """Whether state p has an arc t when all merges before time are done."""
@@ -91,70 +114,73 @@ class Automaton:
             else:
                 return True
 
-    def longest(self, word: bytes, at: int) -> int:
-        node, found = self.spelled, -1
-        for byte in word[at:]:
-            node = node.get(byte)
-            if node is None:
-                break
-            found = node.get(-1, found)
-        return found
-
-    def next_shorter(self, token: int) -> int:
-        """The longest token that the token's label begins with, itself left out."""
-        if token not in self.shorter:
-            self.shorter[token] = self.longest(self.labels[token][:-1], 0)
-        return self.shorter[token]
-
     def encode(self, word: bytes) -> list[int]:
-        labels, arcs, end, last_time = self.labels, self.arcs, len(word), len(self.made) + 1
-        path: list[int] = []
-        at, state, token, closed = 0, -1, self.longest(word, 0), set()
-        while at < end:
-            while token >= 0:
-                if (to := at + len(labels[token])) not in closed:
-                    if state < 0:
+        goto, fail, following, token, arcs, size = self.goto, self.fail, self.next, self.token, self.arcs, self.size
+        last_time, node, state = len(self.made) + 1, 0, [-1]
+        for end, byte in enumerate(word, 1):
+            while (to := goto.get(node << 8 | byte)) is None:
+                node = fail[node]
+            node = at = to
+            while True:
+                t = token[at]
+                if t >= 0:
+                    start = end - size[t]
+                    if not start:
                         break
-                    key = (state, token)
+                    key = (state[start], t)
                     ok = arcs.get(key)
                     if ok is None:
-                        ok = arcs[key] = self.arc(state, token, last_time)
+                        if len(arcs) > _KEPT_ARCS:
+                            arcs.clear()
+                        ok = arcs[key] = self.arc(*key, last_time)
                     if ok:
                         break
-                token = self.next_shorter(token)
-            if token >= 0:
-                path.append(token)
-                at, state = to, token
-                token = self.longest(word, at)
-            else:  # nothing follows here: back to the state before, and the next shorter arc from there
-                closed.add(at)
-                token = path.pop()
-                at -= len(labels[token])
-                state = path[-1] if path else -1
-                token = self.next_shorter(token)
+                at = following[at]
+            state.append(t)
+        path, at = [], len(word)
+        while at:
+            path.append(state[at])
+            at -= size[state[at]]
+        path.reverse()
         return path
 
 
-def _ranges(kind: str) -> str:
-    """All characters of a general category, as ranges of a character class."""
-    out, first, last = [], None, None
-    for c in range(0x110000):
-        if unicodedata.category(chr(c))[0] == kind:
-            if first is None:
-                first = c
-            last = c
-        elif first is not None:
-            out.append(f"\\U{first:08x}-\\U{last:08x}")
-            first = None
-    return "".join(out)
+@lru_cache(1)
+def character_classes() -> dict[str, str]:
+    """The characters that the tokenizers library takes for letters, numbers and white space, as ranges of a
+    character class. It knows more of Unicode than unicodedata does, so that it is asked itself: a run of one
+    kind makes one piece with a character of that kind before it."""
+    from tokenizers import pre_tokenizers
+
+    pieces = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    found: dict[str, list[list[int]]] = {"a": [], "1": [], "!": [], " ": []}
+
+    def look(first: int, last: int):
+        run = "".join(map(chr, range(first, last)))
+        kind = next((x for x in "a1!" if len(pieces(x + run)) == 1), " " if last - first == 1 else None)
+        if kind is None:
+            middle = (first + last) // 2
+            look(first, middle)
+            look(middle, last)
+        elif found[kind] and found[kind][-1][1] == first:
+            found[kind][-1][1] = last
+        else:
+            found[kind].append([first, last])
+
+    for first in [*range(0, 0xD800, 2048), *range(0xE000, 0x110000, 2048)]:
+        look(first, first + 2048)
+    return {kind: "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in ranges) for kind, ranges in found.items()}
 
 
 class Coder:
-    """Encodes and decodes whole texts as a byte-level tokenizers file says."""
+    """Encodes and decodes whole texts as a byte-level tokenizers file says. classes: of character_classes()."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: dict[str, str]):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        rule = spec["pre_tokenizer"] or {}
+        if (rule.get("type"), rule.get("use_regex"), rule.get("add_prefix_space")) != ("ByteLevel", True, False) or spec["normalizer"]:
+            raise ValueError(f"{path}: words are split otherwise than by the byte-level rule")
         model, letters = spec["model"], byte_letters()
         vocab = model["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -164,8 +190,7 @@ class Coder:
         self.emitted = [b""] * (max([*labels, *self.added.values()]) + 1)
         for i, label in [*labels.items(), *((i, s.encode()) for s, i in self.added.items())]:
             self.emitted[i] = label
-        letter, number = _ranges("L"), _ranges("N")
-        white = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+        letter, number, white = (classes[kind] for kind in "a1 ")
         self.split = re.compile(
             f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{white}{letter}{number}]+|[{white}]+(?![^{white}])|[{white}]+"
         )
@@ -200,19 +225,20 @@ class Coder:
         return b"".join([emitted[i] for i in memoryview(ids).cast("I").tolist()]).decode("utf-8", "replace")
 
 
-def coder(path: str) -> Coder:
+def coder(path: str, classes: dict[str, str] | None = None) -> Coder:
+    """One for each process; on executors, classes are the driver's."""
     if path not in _CODERS:
-        _CODERS[path] = Coder(path)
+        _CODERS[path] = Coder(path, classes or character_classes())
     return _CODERS[path]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) -> (doc_id, ids binary: little-endian 32-bit ids). Null texts are as empty ones, without
     ids; repeated rows, null doc_ids and extra columns change nothing."""
-    path = path or tokenizer_path("byte_bpe_50k.json")
+    path, classes = path or tokenizer_path("byte_bpe_50k.json"), character_classes()
 
     def encode(batches):
-        own = coder(path)
+        own = coder(path, classes)
         for batch in batches:
             doc_ids, texts = batch.columns
             for at in range(0, len(texts), 512):
@@ -224,10 +250,10 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def decode_documents(ids: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids) -> (doc_id, text); bytes that are no UTF-8 become U+FFFD. Null ids are as none."""
-    path = path or tokenizer_path("byte_bpe_50k.json")
+    path, classes = path or tokenizer_path("byte_bpe_50k.json"), character_classes()
 
     def decode(batches):
-        own = coder(path)
+        own = coder(path, classes)
         for batch in batches:
             doc_ids, blobs = batch.columns
             for at in range(0, len(blobs), 512):
@@ -239,10 +265,10 @@ def decode_documents(ids: DataFrame, path: str | None = None) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Digests of each document's ids and of the text decoded from them: both steps in one pass over the rows."""
-    path = path or tokenizer_path("byte_bpe_50k.json")
+    path, classes = path or tokenizer_path("byte_bpe_50k.json"), character_classes()
 
     def both(batches):
-        own, sha = coder(path), hashlib.sha256
+        own, sha = coder(path, classes), hashlib.sha256
         for batch in batches:
             doc_ids, texts = batch.columns
             for at in range(0, len(texts), 512):

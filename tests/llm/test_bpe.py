@@ -61,6 +61,16 @@ def test_as_the_tokenizers_library(text):
     assert own.decode(got) == t.decode(want, skip_special_tokens=False)
 
 
+def test_every_character_is_split_as_by_the_library():
+    t, own = Tokenizer.from_file(PATH), bpe.coder(PATH)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(chars), 8192):
+        # beside a letter, a number, a space, and what ends with a contraction
+        texts = ["".join(f"a{c}'m1{c} {c}!" for c in chars[i : i + 512]) for i in range(at, min(at + 8192, len(chars)), 512)]
+        for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+            assert own.encode(text) == struct.pack(f"<{len(want.ids)}I", *want.ids)
+
+
 def test_documents(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a" * 50_000, None), (4, "Hello, wörld", "x"), (4, "Hello, wörld", "x"), (None, "x", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
