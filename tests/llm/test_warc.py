@@ -21,6 +21,9 @@ ROWS = [
     (5, "v", "x" * 3_000_000),
     (None, "w", "<p>same</p>"),
     (None, "w", "alone"),
+    (20, "e", "\r\n"),
+    (21, "e", "\r\nx\r\n\r\n\r\n"),
+    (22, "e", "\n\r\n\r\n\r\r\n\r"),
 ]
 SCHEMA = "page_id long, url string, html string, payload int, original string"
 
@@ -54,7 +57,22 @@ def test_files_are_gzip_of_records(spark, tmp_path):
     warc.archive(pages(spark), str(tmp_path / "c"))
     text = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "c").glob("*.gz")))
     assert text.startswith(b"WARC/1.1\r\nWARC-Type: ") and text.endswith(b"\r\n\r\n")
-    many = b"".join(gzip.compress(x + b"\r\n\r\n") for x in (b"WARC/1.1\r\nContent-Length: 2\r\n\r\nhi",) * 3)
-    assert [b for _, b in warc.parse(many, step=7)] == [b"hi"] * 3
+    one = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    assert [b for _, b in warc.parse(bytes([x]) for x in one * 3)] == [b"hi"] * 3
     with pytest.raises(ValueError):
-        list(warc.parse(gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nhi")))
+        list(warc.parse([one[:-5]]))
+
+
+def test_many_digests_are_not_sent_about(spark):
+    rows = [(i, "u", f"page {i // 2}") for i in range(60)]
+    few = warc.resolve(warc.headers(pages(spark, rows)))
+    many = warc.resolve(warc.headers(pages(spark, rows)), broadcast_digests=5)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_pages_are_streamed(spark, tmp_path):
+    rows = [(i, "u", f"{i}\r\n\r\n" + "<p>large</p>\r\n" * 300_000) for i in range(12)]
+    out = warc.archive(pages(spark, rows).coalesce(1), str(tmp_path / "d"), payloads=False).collect()
+    assert sorted((r.page_id, r.payload_digest) for r in out) == [(i, digest(h)) for i, _, h in rows]
