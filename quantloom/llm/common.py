@@ -23,9 +23,12 @@ def tokenizer_path(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediates: spark.checkpoint.dir, and a temporary one only where that is unset (tests)."""
+    """The folder for intermediates: spark.checkpoint.dir. Where that is unset, a temporary one serves a local
+    session, as in tests; a cluster's executors would each write to their own disk, so that is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='quantloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
@@ -58,9 +61,10 @@ def dropped(df: DataFrame) -> None:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b), two longs: (node, component), the component's smallest node.
 
-    Alternates large-star and small-star steps until nothing changes. Every step is a join and a
-    pre-aggregated minimum, so that a hub's edges are never gathered in one task, and each step's edges
-    are written to the shared folder. Nodes without edges to others are not returned.
+    Alternates large-star and small-star steps until nothing changes. Every step is a pre-aggregated minimum,
+    which is written, and a join with it: both sides of the join are then plain exchanges, of which Spark may
+    deal a hub's edges to several tasks. Each step's edges are written to the shared folder. Nodes without
+    edges to others are not returned.
     """
     edges = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
@@ -68,10 +72,11 @@ def components(edges: DataFrame) -> DataFrame:
     old = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = stored(large.distinct(), "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        dropped(low)
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select("a", F.col("m").alias("b"))
@@ -81,8 +86,8 @@ def components(edges: DataFrame) -> DataFrame:
         state = small.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
         ).first()
-        dropped(large)
-        dropped(edges)
+        for done in (low, large, edges):
+            dropped(done)
         edges = small
         if state == old:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
