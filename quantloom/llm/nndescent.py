@@ -2,8 +2,10 @@
 
 Vectors that are equal, of one label, are one node. Neighbour lists begin in the leaves of random-projection
 trees; then neighbours of a node are compared with one another, and what is nearer than the lists' ends
-enters them. A list that holds links only is saturated, and is enlarged. Every link met joins components. An
-audit compares sampled nodes with all others and, while recall is short, plants more trees.
+enters them, until a round finds hardly a new link. A list that holds links only is saturated, and is
+enlarged. Every link met joins components. An audit compares sampled nodes, some of each found component and
+some of none, with all others. While recall is short more trees are planted; if it stays short, the vectors of
+a group are compared block by block.
 
 Links are counted in components, never listed: members within half the threshold's angle of their centre
 are linked to one another by the triangle inequality; the others are compared block by block.
@@ -21,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, dropped, stored, table
-from .simhash import Forest
+from .simhash import Forest, in_blocks
 from .topk import valid
 
 log = logging.getLogger(__name__)
@@ -170,35 +172,75 @@ def _descend(nodes: DataFrame, lists: DataFrame, tau: float, k: int) -> DataFram
     return members.mapInArrow(run, "u long, v long, s double")
 
 
-def audit(nodes: DataFrame, labels: DataFrame, tau: float, rows: int, seed: int) -> tuple[int, int]:
-    """For so many nodes at most, chosen by a hash: how many links brute force finds, and how many of them
-    lie in one component."""
-    marked = nodes.join(labels.withColumnRenamed("component", "c"), "node", "left").select("node", "grp", "vector", F.coalesce("c", "node").alias("c"))
-    chosen = marked.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(rows).toArrow()
+def audit(nodes: DataFrame, labels: DataFrame, tau: float, rows: int, seed: int) -> tuple[float, int]:
+    """The share of linked nodes' links that lie in one component, each node counting alike, and how many nodes
+    with links it rests on.
+
+    Half of the rows, chosen by a hash, are the least of a component each, so that large ones do not outweigh
+    the others, and half are nodes without a link so far: those that have one count as found for nothing, as
+    often as such nodes are.
+    """
+    marked = nodes.join(labels.withColumnRenamed("component", "c"), "node", "left")
+    marked = stored(marked.select("node", "grp", "vector", "c", F.xxhash64("node", F.lit(seed)).alias("dice")), "marked")
+    one = marked.where("c is not null").groupBy("c").agg(F.min_by(F.struct("node", "grp", "vector"), F.struct("dice", "node")).alias("r"), F.count(F.lit(1)).alias("members"))
+    linked = one.orderBy(F.xxhash64("c", F.lit(seed)), "c").limit(rows // 2).select("r.*", "c", "members")
+    alone = marked.where("c is null").orderBy("dice", "node").limit(rows // 2).select("node", "grp", "vector", "c", F.lit(1).cast("long").alias("members"))
+    n_linked, n_alone = (marked.where(x).count() for x in ("c is not null", "c is null"))
+    chosen = linked.unionByName(alone).toArrow()
     if not chosen.num_rows:
-        return 0, 0
+        return 1.0, 0
     of: dict[str, list[int]] = {}
     for i, g in enumerate(chosen["grp"].to_pylist()):
         of.setdefault(g, []).append(i)
-    own = {g: (np.asarray(chosen["node"])[at], np.asarray(chosen["c"])[at], matrix(chosen["vector"].take(pa.array(at)))) for g, at in of.items()}
+    label = np.array([-1 if x is None else x for x in chosen["c"].to_pylist()])
+    own = {g: (np.array(at), np.asarray(chosen["node"])[at], label[at], matrix(chosen["vector"].take(pa.array(at)))) for g, at in of.items()}
+    total = chosen.num_rows
 
     def run(batches):
+        true, found = np.zeros(total, np.int64), np.zeros(total, np.int64)
         for batch in batches:
-            true = found = 0
-            grp, node, c = batch.column(1).to_pylist(), np.asarray(batch.column(0)), np.asarray(batch.column(3))
+            node, grp = np.asarray(batch.column(0)), batch.column(1).to_pylist()
+            c = np.array([-1 if x is None else x for x in batch.column(3).to_pylist()])
             places: dict[str, list[int]] = {}
             for i, g in enumerate(grp):
                 if g in own:
                     places.setdefault(g, []).append(i)
             for g, at in places.items():
-                nodes_, c_, x_ = own[g]
-                hit = (matrix(batch.column(2).take(pa.array(at))) @ x_.T >= tau) & (node[at][:, None] != nodes_[None, :])
-                true += int(hit.sum())
-                found += int((hit & (c[at][:, None] == c_[None, :])).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([found])], ["true", "found"])
+                ids, nodes_, c_, x_ = own[g]
+                for some in range(0, len(at), 4096):
+                    part = at[some : some + 4096]
+                    hit = (matrix(batch.column(2).take(pa.array(part))) @ x_.T >= tau) & (node[part][:, None] != nodes_[None, :])
+                    true[ids] += hit.sum(axis=0)
+                    found[ids] += (hit & (c[part][:, None] == c_[None, :]) & (c_ >= 0)[None, :]).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total)), pa.array(true), pa.array(found)], ["i", "true", "found"])
+
+    sums = marked.select("node", "grp", "vector", "c").mapInArrow(run, "i long, true long, found long").groupBy("i").agg(F.sum("true").alias("t"), F.sum("found").alias("f")).toArrow()
+    i, t, f = (np.asarray(sums[c]) for c in ("i", "t", "f"))
+    in_one = label[i] >= 0
+    dropped(marked)
+    rate = lambda at: float((f[at] / np.maximum(t[at], 1))[t[at] > 0].mean()) if (t[at] > 0).any() else 1.0
+    missed = n_alone * float((t[~in_one] > 0).mean()) if (~in_one).any() else 0.0
+    have = n_linked + missed
+    return (rate(in_one) * n_linked / have if have else 1.0), int((t > 0).sum())
+
+
+def block_links(nodes: DataFrame, tau: float, block: int = 4096) -> DataFrame:
+    """Links (u, v) that span the components of all pairs of a group: blocks against blocks, each pair a task."""
+    sent = in_blocks(nodes.select("grp", "node", "vector"), ["grp"], 2 * block)
+
+    def search(group: pa.Table) -> pa.Table:
+        node, own, x = np.asarray(group["node"]), np.asarray(group["own"]), matrix(group["vector"])
+        p, q, forest = group["p"][0].as_py(), group["q"][0].as_py(), Forest(group.num_rows)
+        a = np.flatnonzero(own == p)
+        b = a if p == q else np.flatnonzero(own == q)
+        for at in range(0, len(a), 1024):
+            i, j = np.nonzero(x[a[at : at + 1024]] @ x[b].T >= tau)
+            forest.link(a[at + i], b[j])
+        forest.merge()
+        row = np.flatnonzero(forest.label != np.arange(len(node)))
+        return pa.table({"u": pa.array(node[row]), "v": pa.array(node[forest.label[row]])})
 
-    total = marked.mapInArrow(run, "true long, found long").agg(F.sum("true").alias("t"), F.sum("found").alias("f")).first()
-    return total.t or 0, total.f or 0
+    return sent.groupBy("grp", "p", "q").applyInArrow(search, "u long, v long")
 
 
 def link_counts(nodes: DataFrame, labels: DataFrame, tau: float, block: int = 1024) -> DataFrame:
@@ -263,19 +305,19 @@ def near_duplicates(
     tau: float = 0.93,
     k: int = 8,
     trees: int = 6,
-    rounds: int = 2,
+    rounds: int = 5,
     leaf: int = 512,
     sample_rows: int = 2048,
-    audit_rows: int = 256,
+    audit_rows: int = 1024,
     recall: float = 0.995,
-    attempts: int = 4,
+    attempts: int = 3,
 ) -> DataFrame:
     """(vec_id, embedding, label) -> vec_id, n_links, component_id, kept, a row for each row.
 
     Rows are compared when their labels and sizes are equal. Those with a null vec_id or label, or a vector
     that is null, empty, zero or holds null or non-finite components, have no links and are their own
-    component. Repeated rows are vectors of their own. sample_rows place the trees' planes, and audit_rows
-    measure recall, of each size of vector; every row is indexed, and every link within a component counts.
+    component. Repeated rows are vectors of their own. sample_rows place the trees' planes of each size of
+    vector, and audit_rows measure recall; every row is indexed, and every link within a component counts.
     """
     rows = rows.select("vec_id", "label", F.col("embedding").alias("vector"))
     fits = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & valid(F.col("vector")) & F.exists("vector", lambda x: x != 0)
@@ -296,16 +338,25 @@ def near_duplicates(
         lists = stored(_nearest(pairs, tau, k, k), "lists")
         for age in range(rounds):
             more = stored(_descend(nodes, lists, tau, k), "descent")
-            links = links.unionByName(more.where(F.col("s") >= tau).select("u", "v"))
-            old, lists = lists, stored(_nearest(lists.unionByName(more), tau, k, k << (age + 1)), "lists")
+            fresh = more.where(F.col("s") >= tau).select("u", "v")
+            links = links.unionByName(fresh)
+            old, lists = lists, stored(_nearest(lists.unionByName(more), tau, k, k << min(age + 1, 2)), "lists")
             dropped(old)
+            if age > 0 and fresh.count() <= 0.001 * links.count():
+                break
         links = links.unionByName(lists.where(F.col("s") >= tau).select("u", "v"))
         labels = components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
-        true, found = audit(nodes, labels, tau, audit_rows, attempt)
-        log.info("NN-descent, attempt %d: %d of %d audited links found", attempt, found, true)
-        if found >= recall * true:
+        # the roots of components are members too
+        whole = labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
+        share, seen = audit(nodes, whole, tau, audit_rows, attempt)
+        log.info("NN-descent, attempt %d: recall %.4f over %d nodes with links", attempt, share, seen)
+        if share >= recall:
             break
         pairs = lists
+    else:
+        log.warning("NN-descent: recall %.4f after %d attempts; all vectors of a group are compared", share, attempts)
+        links = links.unionByName(block_links(nodes, tau))
+        labels = components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
     roots = labels.select(F.col("component").alias("node"), "component").distinct()
     counts = link_counts(nodes, labels.unionByName(roots), tau)
     of_node = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -68,7 +68,26 @@ def test_audit_sees_missing_links(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, "g:8", v) for i, v in enumerate(groups(rng, 20, 0.05, 8))], "node long, grp string, vector array<float>")
     half = df.selectExpr("node", "cast(node % 2 as long) as component")
-    assert nndescent.audit(df, half, 0.93, 100, 0) == (380, 180)
+    share, seen = nndescent.audit(df, half, 0.93, 100, 0)
+    assert seen == 2 and abs(share - 9 / 19) < 1e-9
+
+
+def test_audit_is_not_outweighed_by_a_large_group(spark):
+    rng = np.random.default_rng(5)
+    vectors = groups(rng, 300, 0.05, 16) + [v for _ in range(40) for v in groups(rng, 2, 0.05, 16)]
+    df = spark.createDataFrame([(i, "g:16", v) for i, v in enumerate(vectors)], "node long, grp string, vector array<float>").repartition(5)
+    found = df.where("node < 300 or node >= 340").selectExpr("node", "if(node < 300, 0, node - node % 2) as component")
+    share, _ = nndescent.audit(df, found, 0.93, 200, 0)
+    assert 0.85 < share < 0.93  # 40 of 380 nodes have a link that was not found
+    assert nndescent.audit(df, df.selectExpr("node", "if(node < 300, 0, node - node % 2) as component"), 0.93, 200, 0)[0] == 1
+
+
+def test_short_recall_ends_in_an_exact_finish(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, v, i % 2) for i, v in enumerate([v for _ in range(60) for v in groups(rng, 3, 0.3, 16)])]
+    df = spark.createDataFrame([(i, v, label, "x", "y") for i, v, label in rows], SCHEMA)
+    out = nndescent.near_duplicates(df, leaf=2, trees=1, rounds=1, k=1, attempts=1, recall=1.01)
+    assert sorted(map(tuple, out.collect()), key=repr) == brute(rows)
 
 
 def test_empty_table(spark):
