@@ -39,9 +39,10 @@ NAMED = r"[A-Za-z0-9_.-]*?" + NAMES + r"s?(?![A-Za-z])[A-Za-z0-9_.-]*+" + _OPERA
 _QUOTED = "|".join(rf"{q}(?:[^{q}\\\r\n]++|\\.)++{q}" for q in "\"'`")
 #: a comma, semicolon or angle belongs to a value that goes on after it, but not before a next name or a tag
 _OPEN = r"(?:[^\s\"'`<>,;]++|[,;](?=[^\s\"'`<>,;])(?![A-Za-z_][A-Za-z0-9_.-]*+\s?[=:])|[<>](?=[^\s\"'`<>,;/A-Za-z!]))++"
-ASSIGNED = r"(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]++" + _OPERATOR + ")" + NAMED + rf"(?:{_QUOTED}|[\"'`]?{_OPEN})"
-TOKEN = r"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*+[0-9]|(?:[^a-z\s]*+[a-z]++[A-Z]++){5})[A-Za-z0-9][A-Za-z0-9_+/.-]{15,}+={0,2}"
-PATTERN = f"{PEM}|{ADDRESS}|{ASSIGNED}|(?<![A-Za-z0-9])(?:{KNOWN})|{TOKEN}"
+ASSIGNED = r"(?<![_.-])(?=[A-Za-z0-9_.-]++" + _OPERATOR + ")" + NAMED + rf"(?:{_QUOTED}|[\"'`]?{_OPEN})"
+TOKEN = r"(?<![_+/.-])(?=[A-Za-z0-9][A-Za-z0-9_+/.-]{15})(?=[A-Za-z_+/.-]*+[0-9]|(?:[^a-z\s]*+[a-z]++[A-Z]++){5})[A-Za-z0-9_+/.-]++={0,2}"
+#: all but key blocks begin where no letter or digit goes before
+PATTERN = f"{PEM}|(?<![A-Za-z0-9])(?:{ADDRESS}|{ASSIGNED}|{KNOWN}|{TOKEN})"
 #: the words of sample values
 WORDS = (
     "the and for with from this that have your here name user admin test demo sample example dummy fake place holder change "
@@ -322,7 +323,8 @@ def findings(docs: DataFrame, model: tuple | None = None, threshold: float = 0.3
     sample value that is hidden. Null and empty texts have none; repeated rows have the same ones again."""
     docs = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text")
     docs = scanned(docs, model or trained(docs.sparkSession), threshold)
-    each = docs.select("__row", "doc_id", F.posexplode("__found").alias("i", "c"))
+    # outer: from a plain one Spark infers a filter on __found's size, and computes it twice for that
+    each = docs.select("__row", "doc_id", F.posexplode_outer("__found").alias("i", "c"))
     each = each.select("__row", "i", "doc_id", F.length("c.gap").alias("gap"), F.length("c.match").alias("n"), F.length("c.value").alias("length"), "c.kind", F.sha2(F.col("c.value").cast("binary"), 256).alias("value_sha256"), "c.probability", "c.secret", F.length("c.end").alias("end"))
     before = F.expr("sum(gap + n) over (partition by __row order by i rows between unbounded preceding and current row)")
     placed = each.withColumn("start", before - F.col("length") - F.col("end")).where("secret")
