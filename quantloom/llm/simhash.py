@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import random
 from functools import lru_cache
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,34 +23,41 @@ from pyspark.sql import functions as F
 from .common import components, stored, table
 
 _BLOCK = 1 << 20  # pairs compared at once
+_HELD = 50_000  # shingles whose bits are unpacked at once
 _FLUSH = 1 << 21  # links held before they are merged into labels
 
 
 def fingerprints(texts: list[str | None], words: int = 3) -> np.ndarray:
     """64-bit SimHash of each text: XXH64 with seed 42 of the shingles of lower-cased (A-Z) words."""
-    hashes, ends = [], []
     out = np.zeros(len(texts), np.uint64)
-    rows, held = [], 0
+    rows, hashes, sizes, held = [], [], [], 0
+
+    def bits_of(parts) -> np.ndarray:
+        return np.unpackbits(np.concatenate(parts).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
 
     def flush():
-        bits = np.unpackbits(np.concatenate(hashes).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        sizes = np.array(ends)
-        counts = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0, dtype=np.int32)
-        packed = np.packbits(2 * counts > sizes[:, None], axis=1)
-        out[rows] = packed.view(">u8").ravel().astype(np.uint64)
-        hashes.clear(), ends.clear(), rows.clear()
+        n = np.array(sizes)
+        counts = np.add.reduceat(bits_of(hashes), np.cumsum(n) - n, axis=0, dtype=np.int32)
+        out[rows] = np.packbits(2 * counts > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+        hashes.clear(), sizes.clear(), rows.clear()
 
     for i, text in enumerate(texts):
         w = (text or "").encode("utf-8").lower().split()
         if not w:
             continue
-        shingles = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[k:] for k in range(words))))
+        shingles = iter([b" ".join(w)]) if len(w) < words else map(b" ".join, zip(*(islice(w, k, None) for k in range(words))))
         n = max(1, len(w) - words + 1)
+        if n > _HELD:  # a long text's counts add up piece by piece
+            counts = np.zeros(64, np.int64)
+            for _ in range(0, n, _HELD):
+                counts += bits_of([np.fromiter(map(xxhash.xxh64_intdigest, islice(shingles, _HELD), repeat(42)), np.uint64)]).sum(axis=0, dtype=np.int64)
+            out[i] = np.packbits(2 * counts > n).view(">u8").astype(np.uint64)[0]
+            continue
         hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n))
-        ends.append(n)
+        sizes.append(n)
         rows.append(i)
         held += n
-        if held > 50_000:
+        if held > _HELD:
             flush()
             held = 0
     if rows:
@@ -158,9 +165,44 @@ class Forest:
         self.label = label
 
 
-def near_pairs(points: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int, link, rng: random.Random):
-    """Calls link(rows, rows) with all pairs of rows a and b (or of a and itself) within max_bits."""
+def gather_round(points: np.ndarray, rows: np.ndarray, max_bits: int, link, forest: Forest, rng: random.Random, pivots: int = 12):
+    """Links rows to some of them that lie within max_bits: a dense group is then one component in a few passes,
+    and near_pairs() leaves out what is in one component already."""
+    for _ in range(pivots if len(rows) > 2048 else 0):
+        forest.merge()
+        label = forest.label[rows]
+        values, counts = np.unique(label, return_counts=True)
+        # beside the largest component, for what is in it needs no further link to itself
+        outside = rows[label != values[counts.argmax()]] if len(values) > 1 else rows[:0]
+        if not len(outside):
+            break
+        pivot = rng.choice(outside)
+        near = rows[distances(points[rows], points[pivot]) <= max_bits]
+        near = near[near != pivot]
+        if len(near):
+            link(np.full(len(near), pivot), near)
+    forest.merge()
+
+
+def near_pairs(points: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int, link, rng: random.Random, forest: Forest | None = None):
+    """Calls link(rows, rows) with all pairs of rows a and b (or of a and itself) within max_bits; with a forest,
+    less those within the component that holds most of the rows."""
     same = a is b
+    if forest is not None and len(a) * len(b) > 1 << 16:
+        forest.merge()
+        of_a, of_b = forest.label[a], forest.label[b]
+        values, counts = np.unique(of_a if same else np.concatenate([of_a, of_b]), return_counts=True)
+        if counts.max() * 4 > counts.sum():
+            most = values[counts.argmax()]
+            in_a, out_a, in_b, out_b = a[of_a == most], a[of_a != most], b[of_b == most], b[of_b != most]
+            if same:
+                parts = [(in_a, out_a), (out_a, out_a)]
+            else:
+                parts = [(in_a, out_b), (out_a, in_b), (out_a, out_b)]
+            for x, y in parts:
+                if len(x) and len(y):
+                    near_pairs(points, x, y, max_bits, link, rng)
+            return
     if len(a) * len(b) <= 4 * _BLOCK:
         step = max(1, _BLOCK // max(1, len(b)))
         for at in range(0, len(a), step):
@@ -204,8 +246,9 @@ def spanning_links(points: np.ndarray, home: np.ndarray, max_bits: int, own=None
     """Rows linked to another row, and the row that stands for their component."""
     forest, rng = Forest(len(points)), random.Random(len(points))
     own = np.zeros(len(points), np.int64) if own is None else own
+    gather_round(points, np.arange(len(points)), max_bits, forest.link, forest, rng)
     for a, b in pairs_of_blocks(home, own, p, q):
-        near_pairs(points, a, b, max_bits, forest.link, rng)
+        near_pairs(points, a, b, max_bits, forest.link, rng, forest)
     forest.merge()
     rows = np.flatnonzero(forest.label != np.arange(len(points)))
     return rows, forest.label[rows]
@@ -364,7 +407,7 @@ def bit_limits(similarity: float, bits: int) -> np.ndarray:
     return np.ceil(bits * share + 3.3 * np.sqrt(bits * share * (1 - share))).astype(np.int64)
 
 
-def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: int = 4, leaf_rows: int = 2048, sample_rows: int = 16384, task_rows: int = 32768) -> DataFrame:
+def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: int = 4, leaf_rows: int = 2048, sample_rows: int = 16384, task_rows: int = 8192) -> DataFrame:
     """Links (a, b) among nodes (wide, size, node and, if there, keys) that span the components of candidates:
     pairs whose 1024 bits differ in no more than bit_limits() allows.
 
@@ -416,8 +459,9 @@ def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: in
         first, rng = np.ascontiguousarray(wide[:, 0]), random.Random(len(node))
         if leaf["tree"][0].as_py() < trees:
             widest = int(near[np.unique(np.minimum(size, last))].max())
+            gather_round(first, np.arange(len(node)), widest, link, found, rng)
             for a, b in pairs_of_blocks(home, own, p, q, np.asarray(leaf["guest"])):
-                near_pairs(first, a, b, widest, link, rng)
+                near_pairs(first, a, b, widest, link, rng, found)
         else:  # rows of equal keys
             order = np.argsort(key, kind="stable")
             starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
@@ -431,9 +475,10 @@ def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: in
             for start, m in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
                 rows = order[start : start + m]
                 widest = int(near[np.unique(np.minimum(size[rows], last))].max())
+                gather_round(first, rows, widest, link, found, rng)
                 for a, b in pairs_of_blocks(np.ones(len(node), bool)[rows], own[rows], p, q):
                     a_ = rows[a]
-                    near_pairs(first, a_, a_ if a is b else rows[b], widest, link, rng)
+                    near_pairs(first, a_, a_ if a is b else rows[b], widest, link, rng, found)
         found.merge()
         rows = np.flatnonzero(found.label != np.arange(len(node)))
         return pa.table({"a": pa.array(node[rows]), "b": pa.array(node[found.label[rows]])})
@@ -497,8 +542,9 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, similarity: float, words
 
         first, rng = np.ascontiguousarray(wide[:, 0]), random.Random(len(node))
         widest = int(near[np.unique(np.minimum(size, last))].max())
+        gather_round(first, np.arange(len(node)), widest, link, found, rng)
         for a, b in pairs_of_blocks(np.ones(len(node), bool), np.asarray(group["own"]), group["p"][0].as_py(), group["q"][0].as_py()):
-            near_pairs(first, a, b, widest, link, rng)
+            near_pairs(first, a, b, widest, link, rng, found)
         rows = np.flatnonzero(found.label != np.arange(len(node)))
         return pa.table({"a": pa.array(node[rows]), "b": pa.array(node[found.label[rows]])})
 

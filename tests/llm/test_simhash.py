@@ -52,6 +52,23 @@ def test_links_as_by_brute_force(spark, leaf_rows, task_rows):
     assert [got.get(i, i) for i in range(len(fps))] == want
 
 
+def test_dense_groups_link_as_without_shortcuts():
+    rng = random.Random(9)
+    centres = [rng.getrandbits(64) for _ in range(2)]
+    flip = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
+    fps = [flip(centres[0], rng.randint(0, 4)) for _ in range(2600)] + [flip(centres[1], rng.randint(0, 6)) for _ in range(300)] + [rng.getrandbits(64) for _ in range(200)]
+    rng.shuffle(fps)
+    points = np.array(fps, np.uint64)
+    a, b = simhash.spanning_links(points, np.ones(len(points), bool), 6)
+    forest = simhash.Forest(len(points))
+    rows = np.arange(len(points))
+    simhash.near_pairs(points, rows, rows, 6, forest.link, rng)
+    forest.merge()
+    got = rows.copy()
+    got[a] = b
+    assert (got == forest.label).all() and np.bincount(got).max() >= 2600
+
+
 def test_rings_and_blocks(monkeypatch):
     monkeypatch.setattr(simhash, "_BLOCK", 64)
     monkeypatch.setattr(simhash, "_FLUSH", 50)
