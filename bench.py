@@ -29,6 +29,9 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     from quantloom.plans import QUERIES
+    from quantloom.plans.frames import store_all
+
+    store_all(spark, sf_dir)  # the tables that queries read; each is read from its files in every run
 
     names = sys.argv[1:] or HEADLINE
     took = {}

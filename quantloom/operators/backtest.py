@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .asof import asof_backward, asof_forward
+
 HURDLE_T = 3.0
 SCHEMES = ("equal", "cap", "inverse_vol", "neutral")
 
@@ -60,11 +62,14 @@ def selected(factor: DataFrame, direction: str = "high", top_n: int | None = Non
     return rows.where(F.col("__r") <= keep).drop("__r", "__n")
 
 
-def sticky_legs(factor: DataFrame, n_long: int, n_short: int, keep_mult: float = 1.5) -> DataFrame:
-    """(rebalance_date, entity, leg): names held stay while they rank within keep_mult times the leg's size;
-    the best others fill it; no name is in both legs. A fold over dates, of one row a date and name."""
+def sticky_legs(factor: DataFrame, n_long: int, n_short: int, keep_mult: float = 1.5, by: tuple[str, ...] = (), most: int = 5_000_000) -> DataFrame:
+    """(by, rebalance_date, entity, leg): names held stay while they rank within keep_mult times the leg's size;
+    the best others fill it; no name is in both legs. A fold over dates, of one row a date and name, for each
+    strategy or universe that the columns by tell apart; a fold of over most rows is refused."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > most:
+            raise SpecError(f"{len(pdf)} dates by names in one fold; at most {most}")
         held: dict[str, list] = {"long": [], "short": []}
         out = []
         for day, rows in pdf.sort_values("rebalance_date").groupby("rebalance_date", sort=True):
@@ -77,12 +82,15 @@ def sticky_legs(factor: DataFrame, n_long: int, n_short: int, keep_mult: float =
                 held[leg] = stay + [e for e in order if e not in stay][: n - len(stay)]
                 taken |= set(held[leg])
                 out += [(day, e, leg) for e in held[leg]]
-        return pd.DataFrame(out, columns=["rebalance_date", "entity", "leg"])
+        out = pd.DataFrame(out, columns=["rebalance_date", "entity", "leg"])
+        for c in by:
+            out[c] = pdf[c].iloc[0]
+        return out
 
     kinds = dict(factor.dtypes)
     schema = f"rebalance_date {kinds['rebalance_date']}, entity {kinds['entity']}, leg string"
-    # rebalance dates by names: small, however many prices there are; one strategy is one group
-    return factor.select("rebalance_date", "entity", "value", F.lit("").alias("run")).groupBy("run").applyInPandas(run, schema)
+    schema = ", ".join([schema, *(f"{c} {kinds[c]}" for c in by)])
+    return factor.select("rebalance_date", "entity", "value", *by).groupBy(*by).applyInPandas(run, schema)
 
 
 def weights(names: DataFrame, scheme: str = "equal", aux: DataFrame | None = None) -> DataFrame:
@@ -102,11 +110,13 @@ def weights(names: DataFrame, scheme: str = "equal", aux: DataFrame | None = Non
 
 def holding_returns(held: DataFrame, daily: DataFrame, last=None) -> DataFrame:
     """(session_date, rebalance_date, ret, gross) of days in (rebalance, next rebalance]: Σ w r over Σ |w| of names
-    that have a return. Each day looks up its rebalance date in the small list of them: no range join."""
+    that have a return. Each day looks up its rebalance date in a list of calendar days: no range join."""
     over = W.orderBy("rebalance_date")
     spans = held.select("rebalance_date").distinct().withColumn("until", F.lead("rebalance_date").over(over))
-    end = F.coalesce("until", F.lit(last).cast("date") if last is not None else F.lit("9999-12-31").cast("date"))
-    days = daily.select("session_date").distinct().join(F.broadcast(spans), (F.col("session_date") > F.col("rebalance_date")) & (F.col("session_date") <= end)).select("session_date", "rebalance_date")
+    stop = daily.agg(F.max("session_date").alias("stop"))
+    until = F.coalesce("until", F.lit(last).cast("date") if last is not None else F.col("stop"))
+    spans = spans.crossJoin(F.broadcast(stop)).withColumn("until", until).where("until > rebalance_date")
+    days = spans.select("rebalance_date", F.explode(F.sequence(F.date_add("rebalance_date", 1), F.col("until"), F.expr("interval 1 day"))).alias("session_date"))
     rows = daily.join(F.broadcast(days), "session_date").join(held, ["rebalance_date", "entity"])
     out = rows.groupBy("session_date", "rebalance_date").agg(F.sum(F.col("weight") * F.col("ret")).alias("c"), F.sum(F.abs("weight")).alias("g"))
     return out.select("session_date", "rebalance_date", F.try_divide(F.col("c"), F.col("g")).alias("ret"), F.col("g").alias("gross"))
@@ -126,13 +136,13 @@ def net_returns(gross: DataFrame, held: DataFrame, cost_bps: float, borrow_bps:
     """(session_date, ret, net): the cost of a rebalance falls on the first day from it on; borrowing accrues daily
     on the short gross of the holding whose rebalance is the last up to the day."""
     days = gross.select("session_date")
-    firsts = turnover(held).join(F.broadcast(days), F.col("session_date") >= F.col("rebalance_date")).groupBy("rebalance_date", "turnover").agg(F.min("session_date").alias("session_date"))
+    # as-of joins of days and rebalances, a row a date each
+    firsts = asof_forward(turnover(held), days, [], "rebalance_date", "session_date", []).withColumnRenamed("matched_date", "session_date").where("session_date is not null")
     costs = firsts.groupBy("session_date").agg(F.sum(F.col("turnover") * cost_bps / 1e4).alias("cost"))
     short = held.groupBy("rebalance_date").agg(F.sum(F.greatest(-F.col("weight"), F.lit(0.0))).alias("short"))
-    spans = short.withColumn("until", F.lead("rebalance_date").over(W.orderBy("rebalance_date")))
-    on = (F.col("session_date") >= F.col("rebalance_date")) & (F.col("until").isNull() | (F.col("session_date") < F.col("until")))
-    borrow = days.join(F.broadcast(spans), on).select("session_date", (F.col("short") * borrow_bps / 1e4 / 252).alias("borrow"))
-    rows = gross.select("session_date", "ret").join(costs, "session_date", "left").join(borrow, "session_date", "left")
+    borrow = asof_backward(days, short, [], "session_date", "rebalance_date", ["short"]).select("session_date", (F.col("short") * borrow_bps / 1e4 / 252).alias("borrow"))
+    rows = gross.select("session_date", "ret").join(costs, "session_date", "left")
+    rows = rows.join(borrow, "session_date", "left") if borrow_bps else rows.withColumn("borrow", F.lit(0.0))
     return rows.withColumn("net", F.col("ret") - F.coalesce("cost", F.lit(0.0)) - F.coalesce("borrow", F.lit(0.0))).select("session_date", "ret", "net")
 
 

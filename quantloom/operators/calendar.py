@@ -96,10 +96,11 @@ def period_firsts(days: DataFrame, period: str, by: tuple[str, ...] = ()) -> Dat
     return days.groupBy(*by, F.trunc("session_date", period).alias("period")).agg(F.min("session_date").alias("session_date")).drop("period")
 
 
-def even_sample(df: DataFrame, n: int, order: str) -> DataFrame:
-    """n rows evenly spaced in order, the first and the last among them; all if there are fewer."""
+def even_sample(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """n rows evenly spaced in order, the first and the last among them; all if there are fewer. For a chart's
+    points: a series' rows are numbered in one pass."""
     total = df.agg(F.count(F.lit(1)).alias("__n"))
-    nth = F.row_number().over(W.orderBy(order)) - 1
+    nth = F.row_number().over(W.orderBy(*order)) - 1
     rows = df.withColumn("__i", nth).crossJoin(F.broadcast(total))
     step = (F.col("__n") - 1) / F.lit(max(1, n - 1))
     slot = F.round(F.round(F.col("__i") / F.greatest(step, F.lit(1e-9))) * step)

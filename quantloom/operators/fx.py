@@ -26,22 +26,28 @@ def source_rank(source: Column, order: tuple[str, ...]) -> Column:
 
 def resolve(asks: DataFrame, rates: DataFrame, sources: tuple[str, ...] = (), max_days: int = MAX_STALE_DAYS) -> DataFrame:
     """asks(ccy, as_of_date, ...) with rate (units of ccy for a dollar), observed, days_stale, is_filled and
-    status ok, stale (withheld: older than max_days) or no_data; of one day's rates the most trusted source's."""
+    status ok, stale (withheld: older than max_days) or no_data; of one day's rates the most trusted source's.
+
+    Some dozens of currencies are each asked by many rows: the distinct days are resolved, and joined to the asks.
+    """
     rates = rates.select("ccy", F.col("as_of_date").alias("observed"), "rate", source_rank(F.col("source"), sources).alias("trust"))
-    out = asof_backward(asks, rates, ["ccy"], "as_of_date", "observed", ["rate"], prefer=[F.col("trust")])
+    days = asks.select("ccy", "as_of_date").where("ccy is not null and as_of_date is not null").distinct()
+    found = asof_backward(days, rates, ["ccy"], "as_of_date", "observed", ["rate"], prefer=[F.col("trust")])
     pivot = F.col("ccy") == PIVOT
     seen = F.when(pivot, F.col("as_of_date")).otherwise(F.col("matched_date"))
-    days = F.datediff("as_of_date", seen)
-    status = F.when(seen.isNull(), "no_data").when(days > max_days, "stale").otherwise("ok")
-    out = out.withColumns({"observed": seen, "days_stale": days, "status": status, "is_filled": F.coalesce(days > 0, F.lit(False))})
+    stale = F.datediff("as_of_date", seen)
+    status = F.when(seen.isNull(), "no_data").when(stale > max_days, "stale").otherwise("ok")
+    found = found.withColumns({"observed": seen, "days_stale": stale, "status": status, "is_filled": F.coalesce(stale > 0, F.lit(False))})
     rate = F.when(pivot, F.lit(1.0)).when(F.col("status") == "ok", F.col("rate"))
-    return out.withColumn("rate", rate).drop("matched_date")
+    out = asks.join(found.withColumn("rate", rate).drop("matched_date"), ["ccy", "as_of_date"], "left")
+    out = out.withColumns({"status": F.coalesce("status", F.lit("no_data")), "is_filled": F.coalesce("is_filled", F.lit(False))})
+    return out.select(*asks.columns, "rate", "observed", "days_stale", "status", "is_filled")
 
 
 def convert(asks: DataFrame, rates: DataFrame, sources: tuple[str, ...] = (), amount: str = "amount", max_gap: int = MAX_LEG_GAP_DAYS) -> DataFrame:
     """asks(amount, from_ccy, to_ccy, as_of_date, ...) with converted: over the dollar, null where a leg is
     missing or the legs were observed more than max_gap days apart; a currency into itself is itself."""
-    legs = asks.withColumn("__id", F.monotonically_increasing_id())
+    legs = asks
     for side in ("from", "to"):
         legs = resolve(legs.withColumn("ccy", F.col(f"{side}_ccy")), rates, sources)
         legs = legs.withColumnsRenamed({"rate": f"{side}_rate", "observed": f"{side}_observed"}).drop("ccy", "days_stale", "status", "is_filled")
@@ -49,7 +55,7 @@ def convert(asks: DataFrame, rates: DataFrame, sources: tuple[str, ...] = (), am
     # the dollar has a rate each day: it is never apart from the other leg
     near = near | (F.col("from_ccy") == PIVOT) | (F.col("to_ccy") == PIVOT)
     out = F.when(F.col("from_ccy") == F.col("to_ccy"), F.col(amount)).when(near, F.col(amount) * F.col("to_rate") / F.col("from_rate"))
-    return legs.withColumn("converted", out).drop("__id", "from_observed", "to_observed")
+    return legs.withColumn("converted", out).drop("from_observed", "to_observed")
 
 
 def daily_filled(rates: DataFrame, max_days: int = MAX_STALE_DAYS) -> DataFrame:
@@ -122,6 +128,6 @@ def market_caps(asks: DataFrame, prices: DataFrame, shares: DataFrame, rates: Da
     out = asof_backward(asks, prices.select("entity", "session_date", "close"), ["entity"], "as_of_date", "session_date", ["close"], cap_days=MAX_PRICE_AGE_DAYS).drop("matched_date")
     reported = shares.select("entity", F.col("as_of_date").alias("reported"), "shares")
     out = asof_backward(out, reported, ["entity"], "as_of_date", "reported", ["shares"]).drop("matched_date")
-    out = out.withColumn("market_cap_lcy", F.col("close") * F.col("shares")).join(F.broadcast(currency), "entity", "left")
+    out = out.withColumn("market_cap_lcy", F.col("close") * F.col("shares")).join(currency, "entity", "left")
     out = resolve(out, rates, sources)
     return out.withColumn("market_cap_usd", F.try_divide(F.col("market_cap_lcy"), F.col("rate"))).drop("observed", "days_stale", "is_filled")

@@ -30,8 +30,12 @@ def aligned(daily: DataFrame, names: list, least: int = MIN_DATES) -> DataFrame:
     return rows.join(F.broadcast(days), "session_date", "left_semi")
 
 
-def covariance(daily: DataFrame) -> DataFrame:
-    """(a, b, cov, n): sample covariances of all pairs of names on their common dates."""
+def covariance(daily: DataFrame, most: int = 2000) -> DataFrame:
+    """(a, b, cov, n): sample covariances of all pairs of names on their common dates; over most names are refused,
+    for the result has a row for each two of them."""
+    n = daily.agg(F.countDistinct("entity").alias("n")).first().n
+    if n > most:
+        raise OptimiserError(f"{n} names; at most {most}")
     x = daily.select("session_date", F.col("entity").alias("a"), F.col("ret").alias("x"))
     y = daily.select("session_date", F.col("entity").alias("b"), F.col("ret").alias("y"))
     return x.join(y, "session_date").where("a <= b").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.count("x").alias("n"))
@@ -146,22 +150,54 @@ def solve(daily: DataFrame, names: list, objective: str = "min_variance", cap: f
     return daily.sparkSession.createDataFrame(rows, "entity long, weight double, in_sample_vol double, out_of_sample_vol double")
 
 
-def min_variance_by_date(held: DataFrame, daily: DataFrame, days: int = 365, cap: float | None = None) -> DataFrame:
-    """(rebalance_date, entity, weight): a problem for each rebalance date, from the returns of the days before it;
-    equal weights where dates are too few. Each date is a group of at most MAX_NAMES names by days rows."""
+def covered(wide: pd.DataFrame, least: int = MIN_DATES) -> pd.DataFrame:
+    """Dates by names without a gap: the worst covered names go until so many dates have all the others; empty if
+    two names have not as many."""
+    kept = wide.notna().sum().sort_values(ascending=False, kind="stable").index.tolist()
+    while len(kept) >= 2:
+        full = wide[kept].dropna()
+        if len(full) >= least:
+            return full
+        kept.pop()
+    return wide.iloc[:0, :0]
+
+
+def min_variance_by_date(held: DataFrame, daily: DataFrame, days: int = 365, cap: float | None = None, leg_cap: int = MAX_NAMES // 2, steps: int = STEPS) -> DataFrame:
+    """held(rebalance_date, entity, rank, and leg, long or short, if there are two) -> (rebalance_date, entity,
+    weight, dropped): a problem for each rebalance date, from the returns of the days before it.
+
+    Of each leg the leg_cap best by rank take part; a name that lacks history goes before a date does; dropped
+    counts the selected names without a weight. A date that cannot be solved, as too few names or dates are
+    left or a leg is empty, has no rows. Legs hold half of the gross each.
+    """
+    two = "leg" in held.columns
+    names = held.select("rebalance_date", "entity", "rank", *([F.col("leg")] if two else [F.lit("long").alias("leg")]))
+    nth = F.row_number().over(W.partitionBy("rebalance_date", "leg").orderBy("rank", "entity"))
+    chosen = F.count(F.lit(1)).over(W.partitionBy("rebalance_date"))
+    legs = names.withColumns({"nth": nth, "selected": chosen}).where(F.col("nth") <= leg_cap).select("rebalance_date", "entity", "leg", "selected")
     spans = held.select("rebalance_date").distinct()
-    on = (F.col("session_date") <= F.col("rebalance_date")) & (F.col("session_date") > F.date_sub("rebalance_date", days))
-    near = daily.select("session_date").distinct().join(F.broadcast(spans), on)
-    legs = held.withColumn("__n", F.row_number().over(W.partitionBy("rebalance_date").orderBy("entity"))).where(F.col("__n") <= MAX_NAMES)
-    rows = legs.select("rebalance_date", "entity").join(near, "rebalance_date").join(daily, ["entity", "session_date"], "left")
+    near = spans.select("rebalance_date", F.explode(F.sequence(F.date_sub("rebalance_date", days - 1), F.col("rebalance_date"), F.expr("interval 1 day"))).alias("session_date"))
+    rows = legs.join(near, "rebalance_date").join(daily.select("entity", "session_date", "ret"), ["entity", "session_date"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf.entity.unique())
-        wide = pdf.pivot_table(index="session_date", columns="entity", values="ret").reindex(columns=names).dropna()
-        w = np.full(len(names), 1 / len(names))
-        if len(wide) >= MIN_DATES and len(names) > 1:
-            w = min_variance(shrunk(wide.to_numpy(float))[0], cap)
-        return pd.DataFrame({"rebalance_date": pdf.rebalance_date.iloc[0], "entity": names, "weight": w})
+        none = pdf[["rebalance_date", "entity"]].iloc[:0].assign(weight=0.0, dropped=0)
+        wide = covered(pdf.pivot_table(index="session_date", columns="entity", values="ret"))
+        if len(wide.columns) < 2:
+            return none
+        is_long = (pdf.drop_duplicates("entity").set_index("entity").leg == "long")[wide.columns].to_numpy()
+        if two and (is_long.all() or not is_long.any()):
+            return none
+        cov = shrunk(wide.to_numpy(float))[0]
+        try:
+            if two:
+                w = descend(cov, np.zeros(len(cov)), 1.0, lambda v: to_legs(v, is_long, 1.0, cap), np.where(is_long, 0.5 / is_long.sum(), -0.5 / (~is_long).sum()), steps)
+            else:
+                w = descend(cov, np.zeros(len(cov)), 1.0, lambda v: to_simplex(v, 1.0, cap), np.full(len(cov), 1 / len(cov)), steps)
+        except OptimiserError:
+            return none
+        out = pd.DataFrame({"rebalance_date": pdf.rebalance_date.iloc[0], "entity": wide.columns, "weight": w})
+        out = out[out.weight.abs() > 1e-9]
+        return out.assign(dropped=int(pdf.selected.iloc[0]) - len(out))
 
     kinds = dict(held.dtypes)
-    return rows.groupBy("rebalance_date").applyInPandas(run, f"rebalance_date date, entity {kinds['entity']}, weight double")
+    return rows.groupBy("rebalance_date").applyInPandas(run, f"rebalance_date date, entity {kinds['entity']}, weight double, dropped long")

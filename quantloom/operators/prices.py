@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,10 +34,14 @@ def refused_bars(bars: DataFrame) -> DataFrame:
 
 
 def gaps(prices: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(entity, session_date): sessions from an entity's first bar to the calendar's end that have no bar."""
-    first = prices.groupBy("entity").agg(F.min("session_date").alias("first"))
-    due = first.join(F.broadcast(calendar.select("session_date").distinct()), F.col("session_date") >= F.col("first"))
-    return due.select("entity", "session_date").join(prices.select("entity", "session_date"), ["entity", "session_date"], "left_anti")
+    """(entity, session_date): sessions from an entity's first bar on a session to the calendar's end that have no bar."""
+    sessions = calendar.select("session_date").distinct().withColumn("i", F.row_number().over(W.orderBy("session_date")))
+    last = sessions.agg(F.max("i").alias("last"))
+    # between a bar and the next lie the sessions that are due: only those are made
+    placed = prices.select("entity", "session_date").distinct().join(F.broadcast(sessions), "session_date").crossJoin(F.broadcast(last))
+    nxt = F.coalesce(F.lead("i").over(W.partitionBy("entity").orderBy("i")), F.col("last") + 1)
+    due = placed.withColumn("next_i", nxt).where("next_i > i + 1").select("entity", F.explode(F.sequence(F.col("i") + 1, F.col("next_i") - 1)).alias("i"))
+    return due.join(F.broadcast(sessions), "i").select("entity", "session_date")
 
 
 def split_factor(prices: DataFrame, splits: DataFrame) -> DataFrame:
@@ -113,21 +118,27 @@ def change_points(series: DataFrame, key: str, date: str, value: str, arrival: s
 
 
 def plausible(series: DataFrame, key: str, date: str, value: str, limit: float, relative: bool = True) -> DataFrame:
-    """Adds accepted: whether a value lies within limit of the last accepted one; a rejected value does not move it.
+    """Adds accepted: whether a value lies within limit of the last accepted one; a rejected value does not move
+    it, and a null value is not accepted.
 
-    The fold runs over each key's ordered history as one expression.
+    Each key's rows pass in order through one task, which holds a batch and the last accepted value, whatever
+    the length of a history: Python, for the fold has no closed form that windows could express.
     """
-    row = F.struct(F.col(date).alias("d"), F.col(value).alias("v"))
-    history = series.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("h"))
-    kinds = history.schema["h"].dataType.elementType
-    out_type = f"array<struct<d: {kinds['d'].dataType.simpleString()}, v: {kinds['v'].dataType.simpleString()}, accepted: boolean>>"
-    start = F.struct(F.lit(None).cast(kinds["v"].dataType).alias("prev"), F.array().cast(out_type).alias("out"))
-
-    def step(s, x):
-        gap = F.abs(x.v - s.prev)
-        ok = s.prev.isNull() | ((gap <= limit * F.abs(s.prev)) if relative else (gap <= limit))
-        ok = F.coalesce(ok, F.lit(False))
-        return F.struct(F.when(ok, x.v).otherwise(s.prev).alias("prev"), F.concat(s.out, F.array(F.struct(x.d.alias("d"), x.v.alias("v"), ok.alias("accepted")))).alias("out"))
-
-    folded = history.select(key, F.explode(F.aggregate("h", start, step, lambda s: s.out)).alias("x"))
-    return folded.select(key, F.col("x.d").alias(date), F.col("x.v").alias(value), "x.accepted")
+
+    def run(batches):
+        last_key, prev = object(), None
+        for batch in batches:
+            keys, values = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            accepted = []
+            for k, v in zip(keys, values):
+                if k != last_key:
+                    last_key, prev = k, None
+                ok = v is not None and (prev is None or abs(v - prev) <= (limit * abs(prev) if relative else limit))
+                if ok:
+                    prev = v
+                accepted.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_())], [key, date, value, "accepted"])
+
+    rows = series.select(key, date, value)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition(key).sortWithinPartitions(key, date, value).mapInArrow(run, f"{kinds}, accepted boolean")

@@ -47,7 +47,7 @@ def fx_resolve(calendar, currency_of, rates):
 def fx_convert(closes, currency_of, rates):
     to = currency_of.select(((F.col("entity") + 18) % 25).alias("entity"), F.col("ccy").alias("to_ccy"))
     asks = closes.select("entity", F.col("session_date").alias("as_of_date"), F.col("close").alias("amount"))
-    asks = asks.join(F.broadcast(currency_of.withColumnRenamed("ccy", "from_ccy")), "entity").join(F.broadcast(to), "entity")
+    asks = asks.join(currency_of.withColumnRenamed("ccy", "from_ccy"), "entity").join(to, "entity")
     return rounded(X.convert(asks, rates, SOURCES).select("entity", "as_of_date", "converted"))
 
 
@@ -110,7 +110,7 @@ def returns_in_dollars(closes, currency_of, rates):
     series = closes.select("entity", "session_date", F.col("close").alias("adj_close"), F.col("close").alias("tri"))
     own = R.own_dates_matrix(series, wins, "entity", "adj_close").where("pr is not null")
     base = A.asof_backward(own.withColumn("target", F.add_months("as_of_date", -12)), closes.select("entity", "session_date"), ["entity"], "target", "session_date", []).withColumnRenamed("matched_date", "base_date")
-    asks = base.select("entity", "as_of_date", "base_date", "pr").join(F.broadcast(currency_of), "entity").withColumnRenamed("as_of_date", "end_date")
+    asks = base.select("entity", "as_of_date", "base_date", "pr").join(currency_of, "entity").withColumnRenamed("as_of_date", "end_date")
     for side in ("base", "end"):
         asks = X.resolve(asks.withColumnRenamed(f"{side}_date", "as_of_date"), rates, SOURCES).withColumnsRenamed({"as_of_date": f"{side}_date", "rate": f"{side}_rate"}).drop("observed", "days_stale", "status", "is_filled")
     # rates are units for a dollar: dollars for a unit are their inverses

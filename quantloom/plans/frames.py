@@ -7,7 +7,11 @@ is computed from them is DataFrame code here and plain SQL there.
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,7 +70,7 @@ FRAMES: dict[str, tuple[tuple[str, ...], str]] = {
              CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) / 250000 AS rate
            FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey
              JOIN {region} r ON n.n_regionkey = r.r_regionkey
-           WHERE r.r_regionkey > 0 AND day(o.o_orderdate) % 3 = 0 AND month(o.o_orderdate) <> 6
+           WHERE r.r_regionkey > 0 AND day(o.o_orderdate) % 10 > 0 AND month(o.o_orderdate) <> 6
            GROUP BY r.r_name, CAST(o.o_orderdate AS DATE), CASE WHEN o.o_orderpriority < '3' THEN 'first' ELSE 'second' END""",
     ),
     "currency_of": (
@@ -87,7 +91,7 @@ FRAMES: dict[str, tuple[tuple[str, ...], str]] = {
              CASE event_type WHEN 'signup' THEN 'join' ELSE 'leave' END AS change,
              CONCAT('raw', CAST(user_id AS VARCHAR(12))) AS raw_identifier,
              CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS universe_id
-           FROM {events} WHERE event_type IN ('signup', 'error') AND event_id % 5 = 0""",
+           FROM {events} WHERE event_type IN ('signup', 'error')""",
     ),
     "curve_point": (
         (),
@@ -143,24 +147,50 @@ def _needed(names) -> list[str]:
 
 def with_frames(names, query: str, base=lambda t: t) -> str:
     parts = [f"{n} AS ({FRAMES[n][1].format(**{t: base(t) for t in BASE})})" for n in _needed(names)]
-    return f"WITH {', '.join(parts)} {query}"
+    return f"WITH {'RECURSIVE ' if 'fold AS' in query else ''}{', '.join(parts)} {query}"
 
 
-_KEPT: dict = {}
+_STORED: dict = {}
+
+
+def _folder(spark: SparkSession) -> str | None:
+    """Where frames are written: spark.checkpoint.dir, or a temporary folder in a local session; else nowhere."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        return None
+    key = (spark.sparkContext.applicationId, "folder")
+    if key not in _STORED:
+        _STORED[key] = tempfile.mkdtemp(prefix="quantloom-frames-")
+        atexit.register(shutil.rmtree, _STORED[key], ignore_errors=True)
+    return f"file://{_STORED[key]}"
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A frame, kept for the application as the table that it stands for; evicted parts are computed again."""
+    """A frame. It stands for a stored table, and is one: written as Parquet when an application first asks for
+    it, and read from there by every query."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _KEPT:
+    if key not in _STORED:
         before, text = FRAMES[name]
         text = text.format(**{t: "{" + t + "}" for t in BASE})
         used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if "{" + t + "}" in text}
         used |= {f"f_{b}": frame(spark, sf_dir, b) for b in before}
         for b in before:
             text = re.sub(rf"\b(FROM|JOIN) {b}\b", rf"\1 {{f_{b}}}", text)
-        _KEPT[key] = spark.sql(text, **used).persist()
-    return _KEPT[key]
+        rows, folder = spark.sql(text, **used), _folder(spark)
+        if folder is None:
+            return rows
+        path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        _STORED[key] = (path, rows.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def store_all(spark: SparkSession, sf_dir: str) -> None:
+    for name in FRAMES:
+        frame(spark, sf_dir, name)
 
 
 def oracle(names, query: str) -> str:

@@ -122,11 +122,11 @@ v AS (SELECT m.*, b.adj_close AS bp, b.tri AS bt, x.adj_close AS ep, x.tri AS et
 mat AS (SELECT *, CASE WHEN NOT annualized THEN ep / bp - 1 WHEN years > 0 THEN pow(ep / bp, 1 / years) - 1 END AS pr, CASE WHEN NOT annualized THEN et / bt - 1 WHEN years > 0 THEN pow(et / bt, 1 / years) - 1 END AS tr FROM v)"""
 
 
-@query("return_matrix", "prices calendar splits dividends", ADJUSTED + TRI + ENDPOINTS + MATRIX + " SELECT entity, CAST(window_id AS BIGINT) AS window_id, as_of_date, base_date, round(least(pr, 100), 6) AS pr, round(least(tr, 100), 6) AS tr FROM mat WHERE pr IS NOT NULL")
+@query("return_matrix", "prices calendar splits dividends", ADJUSTED + TRI + ENDPOINTS + MATRIX + " SELECT entity, CAST(window_id AS BIGINT) AS window_id, as_of_date, base_date, round(CASE WHEN pr IS NOT NULL THEN least(pr, 100) END, 6) AS pr, round(CASE WHEN tr IS NOT NULL THEN least(tr, 100) END, 6) AS tr FROM mat")
 def return_matrix(prices, calendar, splits, dividends):
-    out = R.return_matrix(_series(prices, splits, dividends), calendar, C.windows(prices.sparkSession)).where("pr is not null")
+    out = R.return_matrix(_series(prices, splits, dividends), calendar, C.windows(prices.sparkSession))
     # the yearly rate of a few days' move has no digits to compare
-    top = lambda c: F.least(F.col(c), F.lit(100.0)).alias(c)
+    top = lambda c: F.when(F.col(c).isNotNull(), F.least(F.col(c), F.lit(100.0))).alias(c)
     return rounded(out.select("entity", "window_id", "as_of_date", "base_date", top("pr"), top("tr")))
 
 
@@ -224,10 +224,13 @@ def alpha(prices, levels):
 @query(
     "plausibility_band",
     "closes",
-    None,
+    """, s AS (SELECT entity, session_date, close, row_number() OVER (PARTITION BY entity ORDER BY session_date) AS i FROM closes),
+    fold AS (SELECT *, close AS prev, true AS accepted FROM s WHERE i = 1
+      UNION ALL SELECT s.*, CASE WHEN abs(s.close - f.prev) <= 0.15 * abs(f.prev) THEN s.close ELSE f.prev END, abs(s.close - f.prev) <= 0.15 * abs(f.prev) FROM fold f JOIN s ON s.entity = f.entity AND s.i = f.i + 1)
+    SELECT entity, session_date, round(close, 6) AS close, accepted FROM fold""",
 )
 def plausibility_band(closes):
-    return P.plausible(closes.select("entity", "session_date", "close"), "entity", "session_date", "close", 0.15)
+    return rounded(P.plausible(closes.select("entity", "session_date", "close"), "entity", "session_date", "close", 0.15))
 
 
 @query(

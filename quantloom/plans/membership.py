@@ -38,7 +38,14 @@ def membership_pinned(events):
     return U.pinned(_events(events), 4000).drop("raw_identifier")
 
 
-@query("membership_corrected", "membership_event", None)
+CORRECTED = """
+, k AS (SELECT *, concat_ws('|', raw_identifier, change, CAST(effective_date AS VARCHAR)) AS key FROM membership_event),
+n AS (SELECT *, row_number() OVER (PARTITION BY universe_id, key ORDER BY event_id) AS nth FROM k),
+voided AS (SELECT universe_id, key, row_number() OVER (PARTITION BY universe_id, key ORDER BY event_id) AS nth FROM k WHERE event_id % 35 = 0),
+corrected AS (SELECT n.* FROM n ANTI JOIN voided v ON v.universe_id = n.universe_id AND v.key = n.key AND v.nth = n.nth)"""
+
+
+@query("membership_corrected", "membership_event", CORRECTED + INTERVALS.replace("FROM membership_event GROUP", "FROM corrected GROUP") + " SELECT universe_id, figi, raw_identifier, valid_from, valid_to FROM iv")
 def membership_corrected(events):
     fixes = events.where("event_id % 35 = 0").select(
         (F.col("event_id") + 1_000_000).alias("event_id"), "figi", "effective_date", F.lit("correct").alias("change"), "raw_identifier", "universe_id",

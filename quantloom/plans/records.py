@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import backtest as B
 from ..operators import boards as BD
 from ..operators import calendar as C
 from ..operators import catalogue as K
@@ -143,24 +144,40 @@ def identity_classes(events):
 
 @query("calendar_versions", "closes currency_of", "SELECT ccy AS mic, count(*) AS n, sha256(string_agg(CAST(session_date AS VARCHAR), ',' ORDER BY session_date)) AS content_hash FROM (SELECT DISTINCT ccy, session_date FROM closes JOIN currency_of USING (entity)) x GROUP BY ccy")
 def calendar_versions(closes, currency_of):
-    return rounded(S.calendar_version(closes.join(F.broadcast(currency_of), "entity").select(F.col("ccy").alias("mic"), "session_date").distinct()))
+    return rounded(S.calendar_version(closes.join(currency_of, "entity").select(F.col("ccy").alias("mic"), "session_date").distinct()))
 
 
-@query("covariances", "closes", DAILY + " SELECT x.entity AS a, y.entity AS b, round(covar_samp(x.ret, y.ret) * 1e4, 6) AS cov, count(*) AS n FROM dr x JOIN dr y USING (session_date) WHERE x.entity <= y.entity AND x.entity < 12 AND y.entity < 12 AND year(session_date) = 1998 GROUP BY ALL HAVING count(*) > 1")
+@query("covariances", "closes", DAILY + " SELECT x.entity AS a, y.entity AS b, round(covar_samp(x.ret, y.ret) * 1e4, 6) AS cov, count(*) AS n FROM dr x JOIN dr y USING (session_date) WHERE x.entity <= y.entity GROUP BY ALL HAVING count(*) > 1")
 def covariances(closes):
-    daily = P.daily_returns(closes).where((F.col("entity") < 12) & (F.year("session_date") == 1998))
-    return rounded(O.covariance(daily).where("n > 1").withColumn("cov", F.col("cov") * 1e4))
+    return rounded(O.covariance(P.daily_returns(closes)).where("n > 1").withColumn("cov", F.col("cov") * 1e4))
+
+
+MIN_VARIANCE = (
+    DAILY
+    + _own("6M", 6, "h")
+    + """, reb AS (SELECT min(session_date) AS rebalance_date FROM closes GROUP BY date_trunc('quarter', session_date)),
+    pick AS (SELECT rebalance_date, entity, row_number() OVER (PARTITION BY rebalance_date ORDER BY pr DESC, entity) AS rank FROM h JOIN reb ON h.as_of_date = reb.rebalance_date QUALIFY rank <= 2),
+    pair AS (SELECT a.rebalance_date, least(a.entity, b.entity) AS x, greatest(a.entity, b.entity) AS y FROM pick a JOIN pick b ON a.rebalance_date = b.rebalance_date AND a.rank = 1 AND b.rank = 2),
+    c AS (SELECT p.rebalance_date, p.x, p.y, covar_pop(u.ret, w.ret) AS cxy, var_pop(u.ret) AS cx, var_pop(w.ret) AS cy FROM pair p JOIN dr u ON u.entity = p.x AND u.session_date <= p.rebalance_date AND u.session_date > p.rebalance_date - 365
+      JOIN dr w ON w.entity = p.y AND w.session_date = u.session_date GROUP BY ALL HAVING count(*) >= 30),
+    s AS (SELECT *, greatest(0, least(1, (cy - cxy) / (cx + cy - 2 * cxy))) AS wx FROM c),
+    o AS (SELECT rebalance_date, x AS entity, wx AS weight FROM s UNION ALL SELECT rebalance_date, y, 1 - wx FROM s)"""
+)
 
 
-@query("min_variance", "closes", None)
+# of two names the shrunk covariance is the sample's, and the weights have a closed form
+@query("min_variance", "closes", MIN_VARIANCE + " SELECT rebalance_date, entity, round(weight, 4) AS weight, CAST(2 - count(*) OVER (PARTITION BY rebalance_date) AS BIGINT) AS dropped FROM o WHERE weight > 1e-9")
 def min_variance(closes):
-    held = C.period_firsts(closes, "year").where("session_date > '1998-01-10'").withColumnRenamed("session_date", "rebalance_date").crossJoin(F.broadcast(closes.where("entity < 6").select("entity").distinct()))
-    return O.min_variance_by_date(held, P.daily_returns(closes))
+    dates = C.period_firsts(closes, "quarter").withColumnRenamed("session_date", "rebalance_date")
+    value = R.own_dates_matrix(closes, C.windows(closes.sparkSession, ["6M"]), "entity", "close").where("pr is not null")
+    value = value.select(F.col("as_of_date").alias("rebalance_date"), "entity", F.col("pr").alias("value")).join(F.broadcast(dates), "rebalance_date")
+    legs = B.selected(value, top_n=2).select("rebalance_date", "entity", (-F.col("value")).alias("rank"))
+    return rounded(O.min_variance_by_date(legs, P.daily_returns(closes), steps=20_000), 4)
 
 
-@query("even_sample", "index_levels", None)
+@query("even_sample", "index_levels", ", n AS (SELECT *, row_number() OVER (ORDER BY session_date, region) - 1 AS i, count(*) OVER () AS n FROM index_levels) SELECT region, session_date, round(level, 6) AS level FROM n WHERE n <= 50 OR round(round(i / ((n - 1) / 49.0)) * ((n - 1) / 49.0)) = i")
 def even_sample(levels):
-    return C.even_sample(levels.where("region = 1"), 50, "session_date")
+    return rounded(C.even_sample(levels, 50, "session_date", "region"))
 
 
 @query("curve_complete_days", "curve_point", "SELECT as_of_date, tenor FROM curve_point WHERE NOT (tenor = 7 AND as_of_date > DATE '2001-06-15') AND as_of_date <= DATE '2001-06-15'")

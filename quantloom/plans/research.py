@@ -98,8 +98,7 @@ def _held(closes):
     dates = C.period_firsts(closes, "quarter").withColumnRenamed("session_date", "rebalance_date")
     value = _returns(closes, ["6M"]).select(F.col("as_of_date").alias("rebalance_date"), "entity", F.col("pr").alias("value")).join(F.broadcast(dates), "rebalance_date")
     roster = dates.crossJoin(F.broadcast(closes.select("entity").distinct()))
-    # holdings are names by rebalance dates, and are read five times
-    return B.weights(B.selected(B.covered(value, roster, least=10, share=0.0), top_n=5)).persist()
+    return B.weights(B.selected(B.covered(value, roster, least=10, share=0.0), top_n=5))
 
 
 @query("backtest_weights", "closes", SELECTED + " SELECT rebalance_date, entity, round(weight, 6) AS weight FROM held")
@@ -148,29 +147,75 @@ def backtest_moments(closes):
 
 def _trials(closes):
     daily = P.daily_returns(closes)
-    out = None
-    for trial, entities in enumerate(([0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10, 11], [12, 13, 14], [15, 16])):
-        rows = daily.where(F.col("entity").isin(entities)).groupBy("session_date").agg(F.avg("ret").alias("ret")).select(F.lit(trial).alias("trial"), "session_date", "ret")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return daily.groupBy((F.col("entity") % 6).cast("int").alias("trial"), "session_date").agg(F.avg("ret").alias("ret"))
 
 
-@query("overfit_pbo", "closes", None)
+TRIALS = DAILY + ", tr AS (SELECT entity % 6 AS trial, session_date, avg(ret) AS ret FROM dr GROUP BY ALL)"
+
+
+def _sharpe(n: str, s: str, q: str) -> str:
+    return f"(CASE WHEN {q} / greatest({n}, 1) - pow({s} / greatest({n}, 1), 2) > 1e-24 THEN {s} / greatest({n}, 1) / sqrt({q} / greatest({n}, 1) - pow({s} / greatest({n}, 1), 2)) ELSE 0 END)"
+
+
+@query(
+    "overfit_pbo",
+    "closes",
+    TRIALS
+    + f""", b AS (SELECT session_date, ntile(10) OVER (ORDER BY session_date) - 1 AS block FROM (SELECT DISTINCT session_date FROM tr)),
+    c AS (SELECT trial, block, count(ret) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM tr JOIN b USING (session_date) GROUP BY ALL),
+    h AS (SELECT row_number() OVER (ORDER BY list_filter(range(10), lambda i: (m >> i) & 1 = 1)) - 1 AS split, m FROM range(1024) r(m) WHERE bit_count(m) = 5),
+    x AS (SELECT split, trial, sum(n) FILTER ((m >> block) & 1 = 1) AS ni, sum(s) FILTER ((m >> block) & 1 = 1) AS si, sum(q) FILTER ((m >> block) & 1 = 1) AS qi, sum(n) FILTER ((m >> block) & 1 = 0) AS no, sum(s) FILTER ((m >> block) & 1 = 0) AS so, sum(q) FILTER ((m >> block) & 1 = 0) AS qo FROM h, c GROUP BY split, trial),
+    y AS (SELECT split, trial, {_sharpe('ni', 'si', 'qi')} AS inside, {_sharpe('no', 'so', 'qo')} AS outside, count(*) OVER (PARTITION BY split) AS k FROM x),
+    z AS (SELECT split, min_by(trial, (-inside, trial)) AS best, any_value(k) AS k FROM y GROUP BY split),
+    w AS (SELECT z.split, z.best, (count(*) FILTER (y.outside < o.outside) + (1 + count(*) FILTER (y.outside = o.outside)) / 2.0) / (any_value(z.k) + 1) AS w FROM z JOIN y o ON o.split = z.split AND o.trial = z.best JOIN y ON y.split = z.split GROUP BY z.split, z.best)
+    SELECT split, CAST(best AS BIGINT) AS best, round(ln(w / (1 - w)), 6) AS logit FROM w""",
+)
 def overfit_pbo(closes):
-    return ST.pbo(_trials(closes), 10)
+    return rounded(ST.pbo(_trials(closes), 10))
+
+
+#: the share of the normal law below x, by Simpson's rule from the mean
+_NORMAL = "0.5 + (x / 2000) / 3 / sqrt(2 * pi()) * sum((CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(x * i / 2000, 2) / 2))"
 
 
-@query("overfit_deflated", "closes", None)
+#: what the best of so many trials without skill is expected to reach, in standard deviations
+_EXPECTED = " ".join(f"WHEN {n} THEN {ST.expected_max_sharpe(1.0, n)!r}" for n in range(2, 7))
+
+
+@query(
+    "overfit_deflated",
+    "closes",
+    TRIALS
+    + f""", m AS (SELECT trial, count(ret) AS n, avg(ret) AS mean, stddev_pop(ret) AS sd FROM tr GROUP BY trial), k AS (SELECT trial, n, mean / sd AS sr, avg(pow((ret - mean) / sd, 3)) AS skew, avg(pow((ret - mean) / sd, 4)) AS kurt FROM m JOIN tr USING (trial) GROUP BY trial, n, mean, sd),
+    t AS (SELECT k.*, (SELECT sqrt(var_samp(sr)) * CASE count(*) {_EXPECTED} END FROM k) AS bar FROM k ORDER BY sr DESC, trial LIMIT 1),
+    z AS (SELECT trial, sr, (sr - bar) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS x FROM t)
+    SELECT CAST(trial AS BIGINT) AS best, round(sr, 6) AS sharpe, round({_NORMAL}, 6) AS dsr FROM z, range(2001) r(i) GROUP BY trial, sr, x""",
+)
 def overfit_deflated(closes):
     found = ST.deflated_sharpe(_trials(closes))
-    return closes.sparkSession.createDataFrame([(found["best"], found["sharpe"], found["dsr"])], "best int, sharpe double, dsr double")
+    return rounded(closes.sparkSession.createDataFrame([(found["best"], found["sharpe"], found["dsr"])], "best int, sharpe double, dsr double"))
+
+
+STICKY = (
+    _own("6M", 6, "h")
+    + """, reb AS (SELECT min(session_date) AS rebalance_date FROM closes GROUP BY date_trunc('quarter', session_date)),
+    v AS (SELECT rebalance_date, list(entity ORDER BY pr DESC, entity) AS l FROM h JOIN reb ON h.as_of_date = reb.rebalance_date GROUP BY rebalance_date),
+    d AS (SELECT *, row_number() OVER (ORDER BY rebalance_date) AS i FROM v),
+    fold AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS longs, CAST([] AS BIGINT[]) AS shorts
+      UNION ALL SELECT i, longs, list_concat(stay2, list_filter(o, lambda e: NOT list_contains(stay2, e))[1:4 - len(stay2)]) FROM (
+        SELECT i, longs, o, list_filter(o[1:6], lambda e: list_contains(shorts, e))[1:4] AS stay2 FROM (
+          SELECT i, longs, shorts, list_filter(list_reverse(l), lambda e: NOT list_contains(longs, e)) AS o FROM (
+            SELECT i, l, shorts, list_concat(stay, list_filter(l, lambda e: NOT list_contains(stay, e))[1:4 - len(stay)]) AS longs FROM (
+              SELECT d.i, d.l, fold.shorts, list_filter(d.l[1:6], lambda e: list_contains(fold.longs, e))[1:4] AS stay FROM fold JOIN d ON d.i = fold.i + 1))))),
+    legs AS (SELECT i, unnest(longs) AS entity, 0.5 / len(longs) AS weight FROM fold UNION ALL SELECT i, unnest(shorts), -0.5 / len(shorts) FROM fold)"""
+)
 
 
-@query("sticky_legs", "closes", None)
+@query("sticky_legs", "closes", STICKY + " SELECT d.rebalance_date, CAST(entity AS BIGINT) AS entity, round(weight, 6) AS weight FROM legs JOIN d USING (i)")
 def sticky_legs(closes):
     dates = C.period_firsts(closes, "quarter").withColumnRenamed("session_date", "rebalance_date")
     value = _returns(closes, ["6M"]).select(F.col("as_of_date").alias("rebalance_date"), "entity", F.col("pr").alias("value")).join(F.broadcast(dates), "rebalance_date")
-    return B.weights(B.sticky_legs(value, 4, 4), "neutral")
+    return rounded(B.weights(B.sticky_legs(value, 4, 4), "neutral"))
 
 
 PORTFOLIO = (

@@ -41,9 +41,8 @@ def test_as_duckdb(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+def test_every_query_has_sql():
+    assert not set(QUERIES) - set(ORACLE)
 
 
 def test_plans_have_no_cartesian_product_and_little_python(spark):

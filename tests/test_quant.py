@@ -164,7 +164,7 @@ def test_optimiser(spark):
         out = O.solve(daily, [0, 1, 2], objective, long_names=[0]).collect()
         assert sum(abs(r.weight) for r in out) == pytest.approx(1, abs=1e-6)
     held = spark.createDataFrame([(D("2020-06-01"), e) for e in range(3)], "rebalance_date date, entity long")
-    by_date = {r.entity: r.weight for r in O.min_variance_by_date(held, daily).collect()}
+    by_date = {r.entity: r.weight for r in O.min_variance_by_date(held.withColumn("rank", F.col("entity")), daily).collect()}
     assert sum(by_date.values()) == pytest.approx(1) and by_date[0] > by_date[2]
     with pytest.raises(O.OptimiserError):
         O.solve(daily.where("session_date < '2020-01-10'"), [0, 1, 2])
