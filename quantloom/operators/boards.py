@@ -90,7 +90,7 @@ def heat_map(caps: DataFrame, returns: DataFrame, sectors: DataFrame, names: Dat
     keyed = caps.join(names, "entity", "left").withColumn("issuer", issuer_key(F.col("isin"), F.col("figi")))
     over = W.partitionBy("issuer").orderBy(F.desc_nulls_last("market_cap_usd"), "entity")
     top = keyed.withColumn("nth", F.row_number().over(over)).where("nth = 1")
-    return top.join(returns.select("entity", "pr"), "entity", "left").join(F.broadcast(sectors), "entity", "left").select("issuer", "entity", "sector", "market_cap_usd", "pr")
+    return top.join(returns.select("entity", "pr"), "entity", "left").join(sectors, "entity", "left").select("issuer", "entity", "sector", "market_cap_usd", "pr")
 
 
 def coverage(roster: DataFrame, layers: dict[str, tuple[DataFrame, str, int]], as_of) -> DataFrame:

@@ -24,7 +24,7 @@ def security_detail(securities: DataFrame, labels: DataFrame, prices: DataFrame,
 def history(prices: DataFrame, days: int) -> DataFrame:
     """Each entity's bars of the last days before its own latest."""
     last = prices.groupBy("entity").agg(F.max("session_date").alias("__last"))
-    return prices.join(F.broadcast(last), "entity").where(F.col("session_date") > F.date_sub("__last", days)).drop("__last")
+    return prices.join(last, "entity").where(F.col("session_date") > F.date_sub("__last", days)).drop("__last")
 
 
 def attention(lists: dict[str, tuple[DataFrame, str]], n: int) -> DataFrame:

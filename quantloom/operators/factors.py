@@ -124,7 +124,14 @@ def run(keys: list[str], as_of, members: DataFrame, inputs: dict[str, DataFrame]
         if missing:
             skipped[key] = f"no {', '.join(missing)}"
             continue
-        raw = f.raw(as_of, **{i: inputs[i] for i in f.inputs}).join(F.broadcast(members.select("entity").distinct()), "entity", "left_semi")
+        raw = f.raw(as_of, **{i: inputs[i] for i in f.inputs}).join(members.select("entity").distinct(), "entity", "left_semi")
         rows = scores(raw, f.direction).select(F.lit(key).alias("factor_key"), F.lit(as_of).cast("date").alias("as_of_date"), "entity", "raw", "zscore", "rank", "pctile")
         out = rows if out is None else out.unionByName(rows)
     return out, skipped
+
+
+def catalogue_counts(scored: DataFrame) -> DataFrame:
+    """(factor_key, name, direction, runs, last, names): every factor, and what the scores hold of it."""
+    rows = [(f.key, f.name, f.direction) for f in CATALOGUE.values()]
+    have = scored.groupBy("factor_key").agg(F.countDistinct("as_of_date").alias("runs"), F.max("as_of_date").alias("last"), F.countDistinct("entity").alias("names"))
+    return scored.sparkSession.createDataFrame(rows, "factor_key string, name string, direction string").join(have, "factor_key", "left").fillna(0, ["runs", "names"])

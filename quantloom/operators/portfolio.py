@@ -27,7 +27,7 @@ def daily_series(weights: DataFrame, daily: DataFrame, min_coverage: float = MIN
     rows = held.join(daily, ["session_date", "entity"]).groupBy("portfolio_id", "session_date", "effective_from").agg(
         F.sum(F.col("weight") * F.col("ret")).alias("c"), F.sum(F.abs("weight")).alias("w")
     )
-    rows = rows.join(F.broadcast(gross), ["portfolio_id", "effective_from"])
+    rows = rows.join(gross, ["portfolio_id", "effective_from"])
     out = rows.select("portfolio_id", "session_date", F.try_divide(F.col("c"), F.col("w")).alias("ret"), F.try_divide(F.col("w"), F.col("all_w")).alias("coverage"))
     return out.where(F.col("coverage") >= min_coverage)
 
@@ -75,14 +75,14 @@ def broad_date(facts: DataFrame, date: str, share: float = 0.9) -> DataFrame:
 def attribution(weights: DataFrame, returns: DataFrame) -> DataFrame:
     """(portfolio_id, entity, weight, pr, contribution): the latest vector by returns of the latest broad date."""
     last = weights.groupBy("portfolio_id").agg(F.max("as_of_date").alias("as_of_date"))
-    vector = weights.join(F.broadcast(last), ["portfolio_id", "as_of_date"])
+    vector = weights.join(last, ["portfolio_id", "as_of_date"])
     at = returns.join(F.broadcast(broad_date(returns, "as_of_date")), "as_of_date").select("entity", "pr")
     return vector.join(at, "entity", "left").select("portfolio_id", "entity", "weight", "pr", (F.col("weight") * F.col("pr")).alias("contribution"))
 
 
 def sector_rollup(parts: DataFrame, sectors: DataFrame) -> DataFrame:
     """(portfolio_id, sector, gross, ret) with subtotals: null sector is the portfolio, null portfolio all."""
-    rows = parts.join(F.broadcast(sectors), "entity", "left")
+    rows = parts.join(sectors, "entity", "left")
     priced = F.when(F.col("pr").isNotNull(), F.abs("weight"))
     return rows.rollup("portfolio_id", "sector").agg(F.sum(F.abs("weight")).alias("gross"), F.try_divide(F.sum(priced * F.col("pr")), F.sum(priced)).alias("ret"))
 
@@ -96,7 +96,7 @@ def exposures(weights: DataFrame) -> DataFrame:
 def live(series_weights: DataFrame, quotes: DataFrame, closes: DataFrame, as_of) -> DataFrame:
     """(portfolio_id, ret, coverage, oldest, worst): latest weights by quotes over last closes; the oldest quote and the worst freshness."""
     last = series_weights.groupBy("portfolio_id").agg(F.max("as_of_date").alias("as_of_date"))
-    vector = series_weights.join(F.broadcast(last), ["portfolio_id", "as_of_date"])
+    vector = series_weights.join(last, ["portfolio_id", "as_of_date"])
     close = closes.groupBy("entity").agg(F.max_by("close", "session_date").alias("close"))
     rows = vector.join(quotes.select("entity", "price", "quoted_on"), "entity", "left").join(close, "entity", "left")
     move = F.try_divide(F.col("price"), F.when(F.col("close") > 0, F.col("close"))) - 1

@@ -101,3 +101,61 @@ def action_agreement(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     near = F.abs(F.col("a") - F.col("b")) <= F.greatest(0.005 * F.abs("a"), F.lit(0.005))
     ok = F.when(F.col("action_type") == "split", F.col("a") == F.col("b")).otherwise(near)
     return both.select(*key, F.when(F.col("b").isNull(), "only ours").when(F.col("a").isNull(), "only theirs").when(ok, "agree").otherwise("differ").alias("verdict"))
+
+
+def fx_coverage(currencies: DataFrame, rates: DataFrame, as_of, sources: tuple[str, ...] = ()) -> DataFrame:
+    """(ccy, status, days_stale, severity): each priced currency must resolve a rate that is not stale."""
+    from .fx import PIVOT, resolve
+
+    asks = currencies.select("ccy").where(F.col("ccy") != PIVOT).distinct().withColumn("as_of_date", F.lit(as_of).cast("date"))
+    return resolve(asks, rates, sources).select("ccy", "status", "days_stale", F.when(F.col("status") == "ok", "pass").otherwise("fail").alias("severity"))
+
+
+def classification_coverage(securities: DataFrame, labels: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """(source, n, total, share, severity): how many active securities each source has classified; the share, and
+    whether it reaches the threshold, is of all sources together."""
+    active = securities.where("status = 'active'").select("entity").distinct()
+    now = labels.where("valid_to is null and label is not null").select("entity", "source").distinct().join(active, "entity")
+    total = active.agg(F.count(F.lit(1)).alias("total")).crossJoin(now.agg(F.countDistinct("entity").alias("have")))
+    share = F.try_divide(F.col("have"), F.col("total"))
+    rows = now.groupBy("source").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total))  # one row
+    return rows.select("source", "n", "total", share.alias("share"), F.when(share >= threshold, "pass").otherwise("fail").alias("severity"))
+
+
+def bridge_holes(securities: DataFrame, instruments: DataFrame, xref: DataFrame, scheme: str = "figi") -> DataFrame:
+    """(hole, key) where securities and equity instruments do not meet one to one: unmapped securities, orphan
+    instruments, and instruments that carry several securities."""
+    equity = instruments.where("kind = 'equity'").select("sym_id").distinct()
+    mapped = xref.where(F.col("scheme") == scheme).select("sym_id", "external_id").distinct().join(equity, "sym_id")
+    unmapped = securities.select(F.col("figi").alias("external_id")).distinct().join(mapped, "external_id", "left_anti").select(F.lit("unmapped").alias("hole"), F.col("external_id").alias("key"))
+    orphan = equity.join(mapped, "sym_id", "left_anti").select(F.lit("orphan").alias("hole"), F.col("sym_id").cast("string").alias("key"))
+    many = mapped.groupBy("sym_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("many").alias("hole"), F.col("sym_id").cast("string").alias("key"))
+    return unmapped.unionByName(orphan).unionByName(many)
+
+
+def eod_board(datasets: dict[str, tuple[DataFrame, str, str]], as_of, share: float = 0.9, window_days: int = 10, laggards: int = 3) -> DataFrame:
+    """datasets: name -> (facts, key, date). (dataset, latest, complete, days_behind, bucket, n, n_latest, worst): the
+    last day, the last on which share of the fullest recent day's keys are there, and by that the bucket; worst
+    are the keys whose own last day lies furthest back."""
+    out, day = None, F.lit(as_of).cast("date")
+    for name, (facts, key, date) in datasets.items():
+        rows = facts.where(F.col(date) <= day).select(F.col(key).cast("string").alias("k"), F.col(date).alias("d"))
+        top = rows.agg(F.max("d").alias("latest"))
+        per_day = rows.crossJoin(F.broadcast(top)).where(F.col("d") >= F.date_sub("latest", window_days)).groupBy("d", "latest").agg(F.countDistinct("k").alias("n"))
+        full = per_day.agg(F.max("n").alias("most"))
+        seen = per_day.crossJoin(F.broadcast(full)).groupBy("latest").agg(
+            F.max(F.when(F.col("n") >= share * F.col("most"), F.col("d"))).alias("complete"), F.max("most").alias("n"), F.max(F.when(F.col("d") == F.col("latest"), F.col("n"))).alias("n_latest")
+        )
+        behind = rows.groupBy("k").agg(F.max("d").alias("last")).orderBy("last", "k").limit(laggards)
+        worst = behind.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("last", "k"))), lambda x: x.k), ",").alias("worst"))
+        gap = F.datediff(day, "complete")
+        row = seen.crossJoin(worst).select(F.lit(name).alias("dataset"), "latest", "complete", gap.alias("days_behind"), F.when(gap <= 1, "fresh").when(gap <= 4, "late").otherwise("stale").alias("bucket"), "n", "n_latest", "worst")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def check_log(results: DataFrame) -> DataFrame:
+    """(name, runs, last_run, status, last_pass) of the runs of checks, results(name, status, run_at)."""
+    return results.groupBy("name").agg(
+        F.count(F.lit(1)).alias("runs"), F.max("run_at").alias("last_run"), F.max_by("status", F.struct("run_at", "status")).alias("status"), F.max(F.when(F.col("status") == "pass", F.col("run_at"))).alias("last_pass")
+    )

@@ -71,27 +71,98 @@ def dv01(cashflows: DataFrame, curves: DataFrame, by: list[str]) -> DataFrame:
 def curve_as_of(points: DataFrame, by: list[str], as_of) -> DataFrame:
     """The points of each curve's latest day up to as_of."""
     last = points.where(F.col("as_of_date") <= F.lit(as_of)).groupBy(*by).agg(F.max("as_of_date").alias("as_of_date"))
-    return points.join(F.broadcast(last), [*by, "as_of_date"])
+    return points.join(last, [*by, "as_of_date"])
 
 
 def richness(spreads: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, current, mean, sd, zscore, percentile) of each spread's latest value in its history; population figures."""
     now = spreads.groupBy(*by).agg(F.max_by(value, "as_of_date").alias("current"))
-    rows = spreads.join(F.broadcast(now), by)
+    rows = spreads.join(now, by)
     out = rows.groupBy(*by).agg(F.max("current").alias("current"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), (100 * F.avg(F.when(F.col(value) <= F.col("current"), 1.0).otherwise(0.0))).alias("percentile"), F.count(value).alias("n"))
     return out.withColumn("zscore", F.when(F.col("sd") > 0, (F.col("current") - F.col("mean")) / F.col("sd")))
 
 
+SERIES = ["country", "curve_set", "basis", "rate_type"]
+
+
+def curve_countries(points: DataFrame) -> DataFrame:
+    """(country, first, last): the days that each country's curves span."""
+    return points.groupBy("country").agg(F.min("as_of_date").alias("first"), F.max("as_of_date").alias("last"))
+
+
+def curve_sets(points: DataFrame) -> DataFrame:
+    """(country, curve_set, basis, rate_type, days, first, last) of each series."""
+    return points.groupBy(*SERIES).agg(F.countDistinct("as_of_date").alias("days"), F.min("as_of_date").alias("first"), F.max("as_of_date").alias("last"))
+
+
 def primary_series(points: DataFrame) -> DataFrame:
-    """Each country's curve to show: not a forward one, most points on its latest day, spot before par before yield, by name."""
+    """Each country's nominal curve to show, by its latest nominal day: not a forward one if there is another,
+    most points, spot before par before yield, by name."""
+    nominal = points.where("basis = 'nominal'")
+    last = nominal.groupBy("country").agg(F.max("as_of_date").alias("as_of_date"))
+    sizes = nominal.join(last, ["country", "as_of_date"]).groupBy(*SERIES).agg(F.count(F.lit(1)).alias("nodes"))
     rank = F.when(F.col("rate_type") == "spot", 0).when(F.col("rate_type") == "par", 1).when(F.col("rate_type") == "yield", 2).otherwise(3)
-    series = ["country", "curve_set", "basis", "rate_type"]
-    last = curve_as_of(points.where("rate_type <> 'forward'"), series, "9999-12-31")
-    sizes = last.groupBy(*series).agg(F.count(F.lit(1)).alias("nodes"))
-    over = W.partitionBy("country").orderBy(F.desc("nodes"), rank, "curve_set", "basis")
+    over = W.partitionBy("country").orderBy(F.col("rate_type") == "forward", F.desc("nodes"), rank, "curve_set")
     return sizes.withColumn("nth", F.row_number().over(over)).where("nth = 1").drop("nth")
 
 
+def compare_curves(points: DataFrame, as_of=None) -> DataFrame:
+    """(series, as_of_date, tenor, value): each country's primary curve on its latest day up to as_of."""
+    own = points.join(primary_series(points).select(*SERIES), SERIES)
+    return curve_as_of(own, SERIES, as_of if as_of is not None else "9999-12-31").select(*SERIES, "as_of_date", "tenor", "value")
+
+
+def tenor_history(points: DataFrame, tenor: float) -> DataFrame:
+    """(series, as_of_date, value) of one published tenor on each country's primary curve."""
+    return points.where(F.col("tenor") == float(tenor)).join(primary_series(points).select(*SERIES), SERIES).select(*SERIES, "as_of_date", "value")
+
+
+def asset_swap_bp(bond: Column, ois: Column, tenor: float) -> Column:
+    """The proxy of an asset swap: the government yield less the overnight swap's at the tenor."""
+    return (at_tenor(bond, F.lit(float(tenor))) - at_tenor(ois, F.lit(float(tenor)))) * 100
+
+
+def spread_set(points: DataFrame, curated: str = "GB") -> DataFrame:
+    """(country, key, unit, as_of_date, value) of days on which all legs are there.
+
+    The curated country has its own set: the slope and butterfly of its nominal spot curve, a breakeven against
+    the real one and an asset-swap proxy against swaps, at published tenors. Other countries have slopes and a
+    butterfly of their primary curve, and a breakeven, interpolated on both curves, where their set has a real
+    curve and no inflation curve.
+    """
+    leg = lambda t: F.max(F.when(F.col("tenor") == t, F.col("value"))).alias(f"v{t}")
+    legs = points.where(F.col("tenor").isin(2, 5, 10, 30)).groupBy(*SERIES, "as_of_date").agg(*(leg(t) for t in (2, 5, 10, 30)))
+    slope, fly, long_slope = (F.col("v10") - F.col("v2")) * 100, (2 * F.col("v5") - F.col("v2") - F.col("v10")) * 100, (F.col("v30") - F.col("v5")) * 100
+    entry = lambda key, unit, v: F.struct(F.lit(key).alias("key"), F.lit(unit).alias("unit"), v.alias("value"))
+    listed = lambda df, *x: df.select("country", "as_of_date", F.explode(F.array(*(entry(*e) for e in x))).alias("s")).select("country", "s.key", "s.unit", "as_of_date", "s.value").where("value is not null")
+    of = lambda curve_set, basis: legs.where((F.col("country") == curated) & (F.col("curve_set") == curve_set) & (F.col("basis") == basis) & (F.col("rate_type") == "spot"))
+    bonds = of("glc", "nominal")
+    other = lambda df, name: df.select("country", "as_of_date", F.col("v10").alias(name))
+    own = bonds.join(other(of("glc", "real"), "real"), ["country", "as_of_date"], "left").join(other(of("ois", "nominal"), "ois"), ["country", "as_of_date"], "left")
+    own = listed(own, ("2s10s", "bp", slope), ("2s5s10s", "bp", fly), ("be10y", "%", F.col("v10") - F.col("real")), ("asw10y", "bp", (F.col("v10") - F.col("ois")) * 100))
+    primary = primary_series(points).where(F.col("country") != curated).select(*SERIES)
+    generic = listed(legs.join(primary, SERIES), ("2s10s", "bp", slope), ("2s5s10s", "bp", fly), ("5s30s", "bp", long_slope))
+    sets = points.where(F.col("country") != curated).select(*SERIES).distinct()
+    with_real = sets.where("basis = 'real' and rate_type <> 'forward'").select("country", "curve_set", F.col("rate_type").alias("real_type"))
+    fitted = sets.where("basis = 'inflation'").select("country")
+    pairs = primary.join(with_real, ["country", "curve_set"]).join(fitted, "country", "left_anti")
+    nominal = as_arrays(points.join(pairs, SERIES), ["country", "as_of_date"])
+    keys = pairs.select("country", "curve_set", F.col("real_type").alias("rate_type"))
+    real = as_arrays(points.where("basis = 'real'").join(keys, ["country", "curve_set", "rate_type"]), ["country", "as_of_date"]).withColumnRenamed("curve", "real_curve")
+    even = nominal.join(real, ["country", "as_of_date"]).select("country", F.lit("be10y").alias("key"), F.lit("%").alias("unit"), "as_of_date", breakeven(F.col("curve"), F.col("real_curve"), 10).alias("value"))
+    return own.unionByName(generic).unionByName(even.where("value is not null"))
+
+
+def curve_movie(points: DataFrame, by: list[str], n: int) -> DataFrame:
+    """Each series' curves on n of its days, evenly spaced: the first and the last are among them."""
+    days = points.select(*by, "as_of_date").distinct()
+    over = W.partitionBy(*by)
+    days = days.withColumns({"i": F.row_number().over(over.orderBy("as_of_date")) - 1, "m": F.count(F.lit(1)).over(over)})
+    step = (F.col("m") - 1) / F.lit(max(1, n - 1))
+    shown = days.where((F.col("m") <= n) | (F.round(F.round(F.col("i") / F.greatest(step, F.lit(1e-9))) * step) == F.col("i")))
+    return points.join(shown.select(*by, "as_of_date"), [*by, "as_of_date"])
+
+
 def complete_days(points: DataFrame, by: list[str]) -> DataFrame:
     """Points less the days at the end on which not all of the series are there."""
     width = points.select(*by).distinct().agg(F.count(F.lit(1)).alias("width"))

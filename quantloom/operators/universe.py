@@ -78,9 +78,42 @@ def events_of(members: DataFrame) -> DataFrame:
     return joins.unionByName(leaves)
 
 
-def pinned(events: DataFrame, event_id: int) -> DataFrame:
-    """Intervals as they were when the log ended at event_id."""
-    return intervals(events.where(F.col("event_id") <= event_id))
+def pinned(events: DataFrame, event_id: int, resolutions: DataFrame | None = None, resolved_through=None) -> DataFrame:
+    """Intervals as they were when the log ended at event_id; with resolutions (raw_identifier, figi, resolved_at),
+    of the securities that raw identifiers were last resolved to by then. What was not resolved yet is left out."""
+    events = events.where(F.col("event_id") <= event_id)
+    if resolutions is not None:
+        known = resolutions.where(F.col("resolved_at") <= F.lit(resolved_through)) if resolved_through is not None else resolutions
+        known = known.groupBy("raw_identifier").agg(F.max_by("figi", F.struct("resolved_at", "figi")).alias("__figi"))
+        events = events.join(known.where("__figi is not null"), "raw_identifier").withColumn("figi", F.col("__figi")).select(*events.columns)
+    return intervals(events)
+
+
+def reversals(events: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(universe_id, raw_identifier, change, effective_date) with verdict: appended, of changes that get a
+    correction on their date, there already, or refused, of what was never recorded or is no join or leave."""
+    key = ["universe_id", "raw_identifier", "change", "effective_date"]
+    recorded = events.select(*key).distinct().withColumn("__there", F.lit(True))
+    name = F.concat_ws("|", "raw_identifier", "change", F.col("effective_date").cast("string"))
+    done = events.where("change = 'correct' and reverses is not null").select("universe_id", F.col("reverses").alias("__name")).distinct().withColumn("__done", F.lit(True))
+    rows = asked.select(*key).distinct().withColumn("__name", name).join(recorded, key, "left").join(done, ["universe_id", "__name"], "left")
+    verdict = (
+        F.when(~F.col("change").isin("join", "leave"), "refused: only a join or leave")
+        .when(F.col("__there").isNull(), "refused: not recorded")
+        .when(F.col("__done").isNotNull(), "there already")
+        .otherwise("appended")
+    )
+    return rows.select(*key, verdict.alias("verdict"))
+
+
+def roster_window(interval: DataFrame, as_of) -> DataFrame:
+    """(universe_id, figi, member_from, member_to, active): the span for which a member's data are wanted, open
+    while any of its intervals is."""
+    day = F.lit(as_of).cast("date")
+    is_open = F.bool_or(F.col("valid_to").isNull())
+    return interval.groupBy("universe_id", "figi").agg(
+        F.min("valid_from").alias("member_from"), F.when(~is_open, F.max("valid_to")).alias("member_to"), F.bool_or(valid_at(day)).alias("active")
+    )
 
 
 def members(interval: DataFrame, as_of) -> DataFrame:

@@ -100,6 +100,16 @@ FRAMES: dict[str, tuple[tuple[str, ...], str]] = {
              CAST(SUM(CAST(l_tax AS DECIMAL(18,4))) AS DOUBLE) * 100 / COUNT(*) AS real_rate
            FROM {lineitem} GROUP BY CAST(date_trunc('month', l_shipdate) AS DATE), l_linenumber""",
     ),
+    "rate_point": (
+        (),
+        """SELECT country, curve_set, basis, rate_type, as_of_date, tenor, CASE WHEN rate_type = 'forward' THEN nominal * 1.1 WHEN curve_set = 'ois' THEN nominal - real_rate / 10 WHEN basis = 'real' THEN real_rate ELSE nominal END AS value
+           FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'GB' WHEN 'N' THEN 'US' ELSE 'BR' END AS country, CAST(date_trunc('month', l_shipdate) AS DATE) AS as_of_date,
+               CAST(CASE l_linenumber WHEN 3 THEN 5 WHEN 4 THEN 10 WHEN 5 THEN 30 WHEN 6 THEN 9 WHEN 7 THEN 12 ELSE l_linenumber END AS DOUBLE) AS tenor,
+               CAST(SUM(CAST(l_discount AS DECIMAL(18,4))) AS DOUBLE) * 100 / COUNT(*) AS nominal, CAST(SUM(CAST(l_tax AS DECIMAL(18,4))) AS DOUBLE) * 100 / COUNT(*) AS real_rate
+             FROM {lineitem} GROUP BY 1, 2, 3) p
+           CROSS JOIN (SELECT 'glc' AS curve_set, 'nominal' AS basis, 'spot' AS rate_type, 'GBUSBR' AS whose UNION ALL SELECT 'glc', 'nominal', 'forward', 'GBUSBR' UNION ALL SELECT 'glc', 'real', 'spot', 'GBBR' UNION ALL SELECT 'ois', 'nominal', 'spot', 'GB') s
+           WHERE s.whose LIKE CONCAT('%', p.country, '%')""",
+    ),
     "observation": (
         (),
         """SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS obs_date,

@@ -12,18 +12,27 @@ from pyspark.sql import types as T
 from ..functions.scalars import finite, period_date
 
 
+def csv_cells(line: Column) -> Column:
+    """The cells of a line: in quotes a cell may hold commas, and doubled quotes for one."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',(\s*+"(?:[^"]++|"")*+"[^,]*+|[^,]*+)'), F.lit(1))
+    bare = lambda c: F.regexp_replace(F.regexp_extract(c, r'(?s)^\s*"(.*)"\s*$', 1), '""', '"')
+    return F.transform(raw, lambda c: F.when(c.rlike(r'^\s*"'), bare(c)).otherwise(F.trim(c)))
+
+
 def sdmx_csv(texts: DataFrame, text: str = "text", ref_area: str | None = None) -> DataFrame:
     """SDMX-CSV texts -> (obs_date, value, ref_area): columns are found by their header's names; rows that are
-    garbled, of another area, or without a finite value are skipped."""
-    lines = texts.select(F.split(F.regexp_replace(text, "\r", ""), "\n").alias("l"))
-    head = F.transform(F.split(F.get("l", F.lit(0)), ","), lambda c: F.upper(F.trim(F.regexp_replace(c, '"', ""))))
+    garbled, of another area, or without a finite value are skipped. A text without a column of areas is all of
+    the area that is asked for. Cells hold no line breaks."""
+    lines = texts.select(F.split(F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r", ""), "\n").alias("l"))
+    head = F.transform(csv_cells(F.get("l", F.lit(0))), lambda c: F.upper(F.trim(c)))
     rows = lines.select(head.alias("h"), F.explode(F.slice("l", 2, F.greatest(F.size("l"), F.lit(1)))).alias("line"))
-    cells = F.transform(F.split("line", ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
-    rows = rows.withColumn("c", cells).where(F.size("c") == F.size("h"))
+    rows = rows.withColumn("c", csv_cells(F.col("line"))).where(F.size("c") == F.size("h"))
     cell = lambda name: F.get("c", F.array_position("h", name).cast("int") - 1)
-    out = rows.select(period_date(cell("TIME_PERIOD")).alias("obs_date"), cell("OBS_VALUE").try_cast("double").alias("value"), cell("REF_AREA").alias("ref_area"))
+    has_area = F.array_contains("h", "REF_AREA")
+    out = rows.select(period_date(cell("TIME_PERIOD")).alias("obs_date"), cell("OBS_VALUE").try_cast("double").alias("value"), cell("REF_AREA").alias("ref_area"), has_area.alias("has_area"))
     out = out.where(F.col("obs_date").isNotNull() & finite(F.col("value")))
-    return out if ref_area is None else out.where(F.col("ref_area") == ref_area)
+    out = out if ref_area is None else out.where(~F.col("has_area") | (F.col("ref_area") == ref_area))
+    return out.drop("has_area")
 
 
 def atom_curve(texts: DataFrame, tenors: dict[str, float], date_tag: str = "NEW_DATE", text: str = "text") -> DataFrame:
