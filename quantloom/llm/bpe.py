@@ -56,7 +56,7 @@ class Automaton:
         self.merged: dict[tuple[int, int], int] = {}
         self.made = dict.fromkeys(labels, 0)
         self.parts: dict[int, tuple[int, int]] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}  # by state and token
         dead = set()
         for time, (u, v, w) in enumerate(merges, 1):
             # the gadget is empty where no state has an arc u, or state(u) has no arc v
@@ -66,22 +66,23 @@ class Automaton:
                 continue
             self.merged[u, v] = time
             self.made[w], self.parts[w] = time, (u, v)
-        self.arcs.clear()
-        # the tables: goto by node and byte, where to go on without one, and each node's longest token
+        # the tables: goto by node and byte, where to go on without one, and the tokens that end at a node with
+        # their sizes, the longest first
         self.goto: dict[int, int] = {}
-        self.token, depth = [-1], [0]
+        ends, depth = [-1], [0]
         for token, label in labels.items():
             if token not in dead and (len(label) == 1 or token in self.parts):
                 node = 0
                 for byte in label:
                     to = self.goto.get(node << 8 | byte)
                     if to is None:
-                        to = self.goto[node << 8 | byte] = len(self.token)
-                        self.token.append(-1)
+                        to = self.goto[node << 8 | byte] = len(ends)
+                        ends.append(-1)
                         depth.append(depth[node] + 1)
                     node = to
-                self.token[node] = token
-        self.fail, self.next = [0] * len(depth), [0] * len(depth)
+                ends[node] = token
+        self.fail: list[int] = [0] * len(depth)
+        self.tokens: list[tuple] = [()] * len(depth)
         for key, node in sorted(self.goto.items(), key=lambda x: depth[x[1]]):
             above, byte = key >> 8, key & 255
             while above:
@@ -89,8 +90,8 @@ class Automaton:
                 if (to := self.goto.get(above << 8 | byte)) is not None:
                     self.fail[node] = to
                     break
-            fail = self.fail[node]
-            self.next[node] = fail if self.token[fail] >= 0 else self.next[fail]
+            rest = self.tokens[self.fail[node]]
+            self.tokens[node] = ((ends[node], len(labels[ends[node]])), *rest) if ends[node] >= 0 else rest
         self.size = {t: len(x) for t, x in labels.items()}
 
     def arc(self, p: int, t: int, time: int) -> bool:
@@ -115,27 +116,23 @@ class Automaton:
                 return True
 
     def encode(self, word: bytes) -> list[int]:
-        goto, fail, following, token, arcs, size = self.goto, self.fail, self.next, self.token, self.arcs, self.size
-        last_time, node, state = len(self.made) + 1, 0, [-1]
+        goto, fail, tokens, arcs, size = self.goto, self.fail, self.tokens, self.arcs, self.size
+        last_time, node, state = len(self.made) + 1, 0, [0]
         for end, byte in enumerate(word, 1):
             while (to := goto.get(node << 8 | byte)) is None:
                 node = fail[node]
-            node = at = to
-            while True:
-                t = token[at]
-                if t >= 0:
-                    start = end - size[t]
-                    if not start:
-                        break
-                    key = (state[start], t)
-                    ok = arcs.get(key)
-                    if ok is None:
-                        if len(arcs) > _KEPT_ARCS:
-                            arcs.clear()
-                        ok = arcs[key] = self.arc(*key, last_time)
-                    if ok:
-                        break
-                at = following[at]
+            node = to
+            for t, n in tokens[node]:
+                if n == end:
+                    break
+                key = state[end - n] << 20 | t
+                ok = arcs.get(key)
+                if ok is None:
+                    if len(arcs) > _KEPT_ARCS:
+                        arcs.clear()
+                    ok = arcs[key] = self.arc(state[end - n], t, last_time)
+                if ok:
+                    break
             state.append(t)
         path, at = [], len(word)
         while at:
