@@ -1,19 +1,59 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one JSON line with seconds by query, warm."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one JSON line with seconds by query, warm.
+
+`python bench.py yardstick` times the adjusted view and its cross-sections over 20 million made bars instead.
+"""
 
 from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 HEADLINE = (
     "split_adjusted", "total_return_index", "return_matrix", "return_matrix_gated", "risk_metrics", "extremes_52w", "forward_returns", "index_returns",
     "fx_convert", "returns_in_dollars", "market_caps", "membership_intervals", "scd_applied", "dirty_merge", "factor_scores", "backtest_net",
-    "portfolio_performance", "attribution", "curve_spreads", "index_board", "heat_map", "universe_coverage",
+    "portfolio_performance", "attribution", "curve_spreads", "spread_set", "index_board", "heat_map", "universe_coverage",
 )
 
 
+def seconds(df) -> float:
+    began = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
+def yardstick(spark, entities: int = 4000, sessions: int = 5000) -> dict[str, float]:
+    """The adjusted view of entities by sessions bars, whole, on one day, and against the day a year before."""
+    from pyspark.sql import functions as F
+
+    from quantloom.operators import prices as P
+
+    folder = tempfile.mkdtemp(prefix="quantloom-yardstick-")
+    try:
+        day = F.date_add(F.lit("2004-01-01").cast("date"), (F.col("id") % sessions * 7 / 5).cast("int"))
+        close = 50 + F.pmod(F.xxhash64("id"), F.lit(10_000)) / 100
+        bars = spark.range(entities * sessions).select(F.floor(F.col("id") / sessions).cast("long").alias("entity"), day.alias("session_date"), close.alias("close"))
+        bars.write.parquet(f"{folder}/prices")
+        splits = spark.range(entities).where("id % 3 = 0").select(F.col("id").alias("entity"), F.explode(F.expr("array(date'2009-06-01', date'2016-03-01')")).alias("ex_date"), F.lit(2).cast("decimal(20,8)").alias("ratio"))
+        splits.write.parquet(f"{folder}/splits")
+        prices, splits = spark.read.parquet(f"{folder}/prices"), spark.read.parquet(f"{folder}/splits")
+        days = [r.d for r in prices.agg(F.max("session_date").alias("d")).collect()]
+        base = prices.where(F.col("session_date") <= F.add_months(F.lit(days[0]), -12)).agg(F.max("session_date").alias("d")).first().d
+        two = P.split_adjusted(prices.where(F.col("session_date").isin(days[0], base)), splits)
+        at = lambda d, name: two.where(F.col("session_date") == F.lit(d)).select("entity", F.col("adj_close").alias(name))
+        work = {
+            "adjusted_view": P.split_adjusted(prices, splits),
+            "cross_section": P.split_adjusted(prices.where(F.col("session_date") == F.lit(days[0])), splits),
+            "cross_section_1y": at(days[0], "now").join(at(base, "before"), "entity").select("entity", (F.col("now") / F.col("before") - 1).alias("pr")),
+        }
+        return {name: round(min(seconds(df), seconds(df)), 3) for name, df in work.items()}
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
 def main() -> None:
     from pyspark.sql import SparkSession
 
@@ -31,18 +71,14 @@ def main() -> None:
     from quantloom.plans import QUERIES
     from quantloom.plans.frames import store_all
 
-    store_all(spark, sf_dir)  # the tables that queries read; each is read from its files in every run
-
-    names = sys.argv[1:] or HEADLINE
-    took = {}
-    for name in names:
-        best = None
-        for _ in range(2):  # the first compiles
-            began = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            best = min(best or 1e9, time.perf_counter() - began)
-        took[name] = round(best, 3)
-    print(json.dumps({"metric": "headline queries, seconds in all", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1]}), flush=True)
+    if sys.argv[1:] == ["yardstick"]:
+        took, metric, scale = yardstick(spark), "adjusted view of 20 million bars, seconds in all", "20M bars"
+    else:
+        store_all(spark, sf_dir)  # the tables that queries read; each is read from its files in every run
+        # the first of two runs compiles
+        took = {name: round(min(seconds(QUERIES[name](spark, sf_dir)), seconds(QUERIES[name](spark, sf_dir))), 3) for name in sys.argv[1:] or HEADLINE}
+        metric, scale = "headline queries, seconds in all", sf_dir.rstrip("/").rsplit("sf", 1)[-1]
+    print(json.dumps({"metric": metric, "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": scale}), flush=True)
     spark.stop()
 
 

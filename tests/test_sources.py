@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -85,3 +86,67 @@ def test_event_time_windows(spark, tmp_path):
     assert sorted((r.start.minute, r.kind, r.n) for r in spark.table("counted").collect()) == [(0, "x", 2), (10, "y", 1)]
     run(S.sessions(stream, "ts", ["kind"], "5 minutes", "1 minutes").writeStream.format("memory").queryName("sess").outputMode("append").start())
     assert {(r.kind, r.n) for r in spark.table("sess").collect()} == {("x", 2), ("y", 1)}
+
+
+def test_streams_with_state(spark, tmp_path):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(60)]
+    rng = random.Random(3)
+    values = {k: [round(rng.uniform(1, 9), 2) for _ in days] for k in "ab"}
+    src = str(tmp_path / "in")
+    for n in range(3):
+        rows = [(k, days[i], values[k][i]) for k in "ab" for i in range(20 * n, 20 * n + 20)]
+        rng.shuffle(rows)
+        spark.createDataFrame(rows, "key string, at date, value double").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("key string, at date, value double").option("maxFilesPerTrigger", 1).parquet(src)
+
+    def run(writer):
+        q = writer.start()
+        q.processAllAvailable()
+        q.stop()
+
+    run(S.extremes(stream, 7).writeStream.format("memory").queryName("extremes"))
+    got = {(r.key, r.at): (r.high, r.low) for r in spark.table("extremes").collect()}
+    for k in "ab":
+        for i, d in enumerate(days):
+            window = values[k][max(0, i - 7) : i + 1]
+            assert got[k, d] == (max(window), min(window))
+    run(stream.writeStream.foreachBatch(S.fill_sink(str(tmp_path / "fill"), "key", "at")).option("checkpointLocation", str(tmp_path / "cp1")))
+    assert spark.read.parquet(str(tmp_path / "fill")).count() == 120
+    write = S.fill_sink(str(tmp_path / "fill"), "key", "at")
+    again = spark.createDataFrame([("a", days[3], 0.0), ("a", days[-1] + dt.timedelta(1), 5.0), ("c", days[0], 1.0)], "key string, at date, value double")
+    for _ in range(2):  # a batch that runs again replaces itself
+        write(again, 9)
+    assert spark.read.parquet(str(tmp_path / "fill")).count() == 122
+
+
+def test_membership_stream(spark, tmp_path):
+    rng, src = random.Random(4), str(tmp_path / "in")
+    events = [(f"F{rng.randint(1, 4)}", dt.date(2020, 1, 1) + dt.timedelta(rng.randint(0, 40)), rng.choice(["join", "leave"]), n) for n in range(150)]
+    events.sort(key=lambda e: e[1])
+    cuts = [0, 50, 100, 150]
+    for a, b in zip(cuts, cuts[1:]):
+        while 0 < a < 150 and events[a - 1][1] == events[a][1]:
+            a += 1
+        while b < 150 and events[b - 1][1] == events[b][1]:
+            b += 1
+        spark.createDataFrame(events[a:b], "key string, at date, change string, n long").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("key string, at date, change string, n long").option("maxFilesPerTrigger", 1).parquet(src)
+    q = S.memberships(stream).writeStream.format("memory").queryName("members").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted(tuple(r) for r in spark.table("members").collect())
+    want, since = [], {}
+    for key, at, change, _ in sorted(events, key=lambda e: (e[1], e[2] != "leave", e[3])):
+        if change == "join":
+            since.setdefault(key, at)
+        elif key in since:
+            if since[key] < at:
+                want.append((key, since[key], at))
+            del since[key]
+    assert got == sorted(want)
+
+
+def test_sdmx_csv_keeps_quoted_commas_and_texts_without_areas(spark):
+    texts = spark.createDataFrame([('REF_AREA,TITLE,TIME_PERIOD,OBS_VALUE\r\nUS,"Rate, ten ""y""",2024-01,1.5\r\nFR,x,2024-02,2\nUS,short\nUS,x,2024-03,\n',), ("TIME_PERIOD,OBS_VALUE\n2024-05,7\n",)], "text string")
+    got = {(str(r.obs_date), r.value) for r in P.sdmx_csv(texts, ref_area="US").collect()}
+    assert got == {("2024-01-01", 1.5), ("2024-05-01", 7.0)}
