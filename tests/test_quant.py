@@ -189,3 +189,50 @@ def test_lineage(spark):
     assert L.edges(spark, s[:2]) == [("raw.a", "mart.c", "correlated"), ("raw.b", "mart.c", "correlated")]
     assert ("mart.f", "mart.e", "direct") in L.edges(spark, s)
     assert "raw_a[raw.a] -.-> mart_c[mart.c]" in L.mermaid(L.edges(spark, s))
+
+
+def test_registry_and_contract(spark):
+    from quantloom.operators import identity as I
+
+    assert I.universe_spec("ftse-100", "index")["kind"] == "index"
+    assert I.universe_spec("top", "criteria", {"top_n": 5})["config"] == {"top_n": 5}
+    for bad in (("", "index"), ("Bad Id", "index"), ("x1", "nothing"), ("top", "criteria")):
+        with pytest.raises(I.RegistryError):
+            I.universe_spec(*bad)
+    bars = spark.createDataFrame([(1, 2.0)], "entity long, close double")
+    assert I.conformance(bars, {"entity": "bigint", "close": "double"}) == []
+    assert I.conformance(bars, {"entity": "string", "volume": "double"}) == ["no column volume", "entity is bigint, not string"]
+
+
+def test_finite_values_only(spark):
+    from quantloom.functions.scalars import finite
+
+    rows = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (float("-inf"),), (None,)], "x double")
+    assert [r.x for r in rows.where(finite(F.col("x"))).collect()] == [1.0]
+
+
+def test_delisted_names_keep_their_history(spark):
+    """Survivorship: transforms look at no status, so that names which have gone still have returns."""
+    from quantloom.operators import prices as P
+
+    bars = spark.createDataFrame([(e, D("2020-01-01") + dt.timedelta(i), 10.0 + i, "delisted" if e else "active") for e in range(2) for i in range(3)], "entity long, session_date date, close double, status string")
+    assert {r.entity: r.n for r in P.daily_returns(bars).groupBy("entity").agg(F.count("*").alias("n")).collect()} == {0: 2, 1: 2}
+
+
+def test_tilt_and_trimmed_legs(spark):
+    cov = np.diag([0.04, 0.04, 0.04])
+    w = O.tilt(cov, np.array([1.0, 0.0, -1.0]), np.full(3, 1 / 3), 0.2)
+    assert w.sum() == pytest.approx(1) and w[0] > w[1] > w[2] >= 0
+    rng = np.random.default_rng(8)
+    days = [D("2020-01-01") + dt.timedelta(i) for i in range(120)]
+    daily = [(d, e, float(x)) for e, sd in enumerate((0.01, 0.02, 0.01, 0.03, 0.02)) for d, x in zip(days, rng.normal(size=120) * sd)]
+    daily = [r for r in daily if r[1] != 4 or r[0] >= days[110]]  # the last name has hardly a history
+    daily = spark.createDataFrame(daily, "session_date date, entity long, ret double")
+    legs = [(D("2020-04-29"), e, leg, r) for e, leg, r in ((0, "long", 1), (1, "long", 2), (4, "long", 3), (2, "short", 1), (3, "short", 2))]
+    held = spark.createDataFrame(legs + [(D("2020-01-05"), 0, "long", 1), (D("2020-01-05"), 2, "short", 1)], "rebalance_date date, entity long, leg string, rank int")
+    out = {r.entity: r for r in O.min_variance_by_date(held, daily).collect()}  # the early date has too few days
+    assert set(out) == {0, 1, 2, 3} and all(r.dropped == 1 for r in out.values())
+    assert out[0].weight + out[1].weight == pytest.approx(0.5) and out[2].weight + out[3].weight == pytest.approx(-0.5)
+    assert out[0].weight > out[1].weight > 0 > out[3].weight > out[2].weight
+    one = {r.entity for r in O.min_variance_by_date(held, daily, leg_cap=1).collect()}
+    assert one == {0, 2}
