@@ -19,10 +19,12 @@ def daily_series(weights: DataFrame, daily: DataFrame, min_coverage: float = MIN
     Days on which less than min_coverage of |w| has a return are left out."""
     spans = steps(weights, ["portfolio_id"], "as_of_date", ["entity", "weight"])
     gross = spans.groupBy("portfolio_id", "effective_from").agg(F.sum(F.abs("weight")).alias("all_w"))
-    # the step of each portfolio and day, a small table, makes the join with returns an equality
-    vectors = spans.select("portfolio_id", "effective_from", "effective_to").distinct()
-    on = (F.col("session_date") > F.col("effective_from")) & (F.col("effective_to").isNull() | (F.col("session_date") <= F.col("effective_to")))
-    days = daily.select("session_date").distinct().join(F.broadcast(vectors), on).select("session_date", "portfolio_id", "effective_from")
+    # each portfolio's vector of each calendar day makes the join with returns an equality
+    stop = daily.agg(F.max("session_date").alias("stop"))
+    vectors = spans.select("portfolio_id", "effective_from", "effective_to").distinct().crossJoin(F.broadcast(stop))
+    vectors = vectors.withColumn("until", F.coalesce("effective_to", "stop")).where("until > effective_from")
+    days = vectors.select("portfolio_id", "effective_from", F.explode(F.sequence(F.date_add("effective_from", 1), F.col("until"), F.expr("interval 1 day"))).alias("session_date"))
+    days = days.join(F.broadcast(daily.select("session_date").distinct()), "session_date", "left_semi")
     held = days.join(spans.select("portfolio_id", "effective_from", "entity", "weight"), ["portfolio_id", "effective_from"])
     rows = held.join(daily, ["session_date", "entity"]).groupBy("portfolio_id", "session_date", "effective_from").agg(
         F.sum(F.col("weight") * F.col("ret")).alias("c"), F.sum(F.abs("weight")).alias("w")
@@ -80,11 +82,12 @@ def attribution(weights: DataFrame, returns: DataFrame) -> DataFrame:
     return vector.join(at, "entity", "left").select("portfolio_id", "entity", "weight", "pr", (F.col("weight") * F.col("pr")).alias("contribution"))
 
 
-def sector_rollup(parts: DataFrame, sectors: DataFrame) -> DataFrame:
-    """(portfolio_id, sector, gross, ret) with subtotals: null sector is the portfolio, null portfolio all."""
+def sector_rollup(parts: DataFrame, sectors: DataFrame, levels: tuple[str, ...] = ("sector",)) -> DataFrame:
+    """(portfolio_id, levels, gross, ret) with subtotals, nested as levels are: a null level is the total of the one
+    before, null portfolios all."""
     rows = parts.join(sectors, "entity", "left")
     priced = F.when(F.col("pr").isNotNull(), F.abs("weight"))
-    return rows.rollup("portfolio_id", "sector").agg(F.sum(F.abs("weight")).alias("gross"), F.try_divide(F.sum(priced * F.col("pr")), F.sum(priced)).alias("ret"))
+    return rows.rollup("portfolio_id", *levels).agg(F.sum(F.abs("weight")).alias("gross"), F.try_divide(F.sum(priced * F.col("pr")), F.sum(priced)).alias("ret"))
 
 
 def exposures(weights: DataFrame) -> DataFrame:

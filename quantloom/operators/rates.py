@@ -181,6 +181,15 @@ def forward_spot_gaps(spot: DataFrame, forward: DataFrame, tolerance: float) ->
     return both.withColumn("gap", F.abs(F.col("mean") - F.col("spot"))).where(F.col("gap") > tolerance)
 
 
+def inflation_gaps(points: DataFrame, tolerance: float) -> DataFrame:
+    """(country, curve_set, as_of_date, tenor, gap) where a published inflation curve leaves the difference of the
+    nominal and real ones by more than tolerance."""
+    at = lambda basis: F.max(F.when(F.col("basis") == basis, F.col("value")))
+    rows = points.where("rate_type <> 'forward'").groupBy("country", "curve_set", "as_of_date", "tenor").agg(at("nominal").alias("nominal"), at("real").alias("real"), at("inflation").alias("inflation"))
+    gap = F.abs(F.col("nominal") - F.col("real") - F.col("inflation"))
+    return rows.withColumn("gap", gap).where(F.col("gap") > tolerance).select("country", "curve_set", "as_of_date", "tenor", "gap")
+
+
 def stale_by_cadence(dates: DataFrame, key: str, as_of, floor_days: int = 5, last_gaps: int = 10) -> DataFrame:
     """(key, last, median_gap, days_behind, stale): a series may lag max(floor, twice the median of its last gaps)."""
     over = W.partitionBy(key).orderBy("obs_date")

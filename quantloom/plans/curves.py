@@ -74,6 +74,15 @@ def spread_set_richness(points):
     return rounded(X.richness(X.spread_set(points), ["country", "key"], "value"), 6, percentile=4, zscore=5)
 
 
+@query("inflation_gaps", "rate_point", "SELECT n.country, n.curve_set, n.as_of_date, n.tenor, round(abs(n.value - r.value - (n.value - r.value) * 1.02), 6) AS gap FROM (SELECT * FROM rate_point WHERE basis = 'nominal' AND rate_type = 'spot' AND curve_set = 'glc') n JOIN (SELECT * FROM rate_point WHERE basis = 'real') r USING (country, curve_set, as_of_date, tenor) WHERE abs((n.value - r.value) * 0.02) > 0.0213")
+def inflation_gaps(points):
+    # an inflation curve made two per cent off the difference
+    key = ["country", "curve_set", "as_of_date", "tenor"]
+    real = points.where("basis = 'real'").select(*key, F.col("value").alias("r"))
+    made = points.where("basis = 'nominal' and rate_type = 'spot' and curve_set = 'glc'").join(real, key).select("country", "curve_set", F.lit("inflation").alias("basis"), "rate_type", "as_of_date", "tenor", ((F.col("value") - F.col("r")) * 1.02).alias("value"))
+    return rounded(X.inflation_gaps(points.unionByName(made), 0.0213))
+
+
 @query("asset_swap", "rate_point", f"SELECT as_of_date, round((b.v - o.v) * 100, 6) AS asset_swap FROM (SELECT as_of_date, {_at('value', 11)} AS v FROM rate_point c WHERE country = 'GB' AND curve_set = 'glc' AND basis = 'nominal' AND rate_type = 'spot' GROUP BY as_of_date) b JOIN (SELECT as_of_date, {_at('value', 11)} AS v FROM rate_point c WHERE country = 'GB' AND curve_set = 'ois' GROUP BY as_of_date) o USING (as_of_date)")
 def asset_swap(points):
     gb = points.where("country = 'GB' and rate_type = 'spot'")

@@ -282,6 +282,12 @@ def attribution_by_sector(closes, weights, currency_of):
     return rounded(PF.sector_rollup(parts, currency_of.withColumnRenamed("ccy", "sector")))
 
 
+@query("attribution_nested", "closes portfolio_weight currency_of", ATTRIBUTED + " SELECT portfolio_id, ccy AS sector, CAST(entity % 3 AS BIGINT) AS industry, round(sum(abs(weight)), 6) AS gross, round(sum(CASE WHEN pr IS NOT NULL THEN abs(weight) * pr END) / sum(CASE WHEN pr IS NOT NULL THEN abs(weight) END), 6) AS ret FROM parts JOIN currency_of USING (entity) GROUP BY ROLLUP (portfolio_id, ccy, entity % 3)")
+def attribution_nested(closes, weights, currency_of):
+    parts = PF.attribution(weights, _returns(closes, ["3M"]))
+    return rounded(PF.sector_rollup(parts, currency_of.select("entity", F.col("ccy").alias("sector"), (F.col("entity") % 3).cast("long").alias("industry")), ("sector", "industry")))
+
+
 @query("exposures", "portfolio_weight", "SELECT portfolio_id, as_of_date, round(sum(weight), 6) AS net, round(sum(abs(weight)), 6) AS gross, round(sum(greatest(weight, 0)), 6) AS long, round(sum(least(weight, 0)), 6) AS short, count(*) AS n FROM portfolio_weight GROUP BY ALL")
 def exposures(weights):
     return rounded(PF.exposures(weights))

@@ -338,6 +338,25 @@ def wide_texts(observation):
     return rounded(T.wide_csv(_texts(observation, "Date;1Y;2Y;7Y", line)), 2)
 
 
+@query("index_graph_texts", "index_levels", "SELECT session_date, round(level, 4) AS level FROM index_levels WHERE region <> 3")
+def index_graph_texts(levels):
+    row = F.struct(F.date_format("session_date", "yyyyMMdd").cast("int").alias("calc_date"), F.round("level", 4).alias("level_eod"))
+    pages = levels.groupBy("region").agg(F.collect_list(row).alias("INDEX_LEVELS"))
+    text = F.when(F.col("region") == 3, '{"error_code": " 100", "error_message": "none"}').otherwise(F.to_json(F.struct(F.struct("INDEX_LEVELS").alias("indexes"))))
+    return rounded(T.index_graph(pages.select(text.alias("text"))), 4)
+
+
+@query("index_sheet_texts", "index_levels", "SELECT session_date, round(level, 2) AS level FROM index_levels")
+def index_sheet_texts(levels):
+    # regions differ in their dates and in how they write numbers
+    plain = F.format_number("level", 2)
+    number = F.when(F.col("region") % 2 == 0, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit('"'), F.translate(F.translate(F.translate(plain, ",", "_"), ".", ","), "_", "."), F.lit('"')))
+    day = F.when(F.col("region") == 0, F.date_format("session_date", "MM/dd/yyyy")).when(F.col("region") == 1, F.date_format("session_date", "dd MMM yyyy")).otherwise(F.col("session_date").cast("string"))
+    body = F.array_join(F.collect_list(F.concat_ws(",", day, F.lit("x"), number)), "\n")
+    texts = levels.groupBy("region").agg(F.concat(F.lit("Index export,,\nAs of Date,Name,Level\n"), body, F.lit("\nCopyright: all rights,,\n")).alias("text"))
+    return rounded(T.index_sheet(texts), 2)
+
+
 @query("html_texts", "label", "SELECT entity, quarter_start, label FROM label")
 def html_texts(label):
     cells = F.concat(F.lit("<tr><td>"), F.col("entity").cast("string"), F.lit("<td> "), F.col("quarter_start").cast("string"), F.lit("<sup>1</sup></td><td>"), F.col("label"), F.lit("</td></tr>"))

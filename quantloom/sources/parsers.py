@@ -63,6 +63,41 @@ def wide_csv(texts: DataFrame, text: str = "text", separator: str = ";") -> Data
     return out.where("as_of_date is not null and tenor is not null and value is not null")
 
 
+def index_graph(payloads: DataFrame, text: str = "text") -> DataFrame:
+    """{"indexes": {"INDEX_LEVELS": [{"calc_date": 20200102, "level_eod": 1.5}]}} texts -> (session_date, level);
+    levels of zero or less, and texts with an error code, give no rows; the codes are in index_graph_errors()."""
+    levels = "indexes struct<INDEX_LEVELS: array<struct<calc_date: string, level_eod: string>>>, error_code string"
+    rows = payloads.select(F.from_json(text, levels).alias("j")).where(F.trim(F.coalesce("j.error_code", F.lit("0"))).isin("", "0"))
+    rows = rows.select(F.explode("j.indexes.INDEX_LEVELS").alias("r"))
+    out = rows.select(F.try_to_date("r.calc_date", "yyyyMMdd").alias("session_date"), F.col("r.level_eod").try_cast("double").alias("level"))
+    return out.where("session_date is not null and level > 0")
+
+
+def index_graph_errors(payloads: DataFrame, text: str = "text") -> DataFrame:
+    """(error_code, error_message) of the texts that say so."""
+    rows = payloads.select(F.from_json(text, "error_code string, error_message string").alias("j")).select("j.*")
+    return rows.where(~F.trim(F.coalesce("error_code", F.lit("0"))).isin("", "0"))
+
+
+def index_sheet(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Exports with a preamble, a header that names the date, and notes at the end, as CSV -> (session_date, level):
+    the first other cell that is a positive number, with thousands in commas or, before a decimal comma, in points."""
+    lines = texts.select(F.split(F.regexp_replace(text, "\r", ""), "\n").alias("l"))
+    cells = F.transform("l", csv_cells)
+    is_date = lambda c: F.lower(F.trim(c)).isin("date", "as of date", "asofdate")
+    heads = F.transform("c", lambda row: F.exists(row, is_date))
+    rows = lines.select(cells.alias("c")).withColumn("at", F.array_position(heads, True).cast("int")).where("at > 0")
+    place = F.array_position(F.transform(F.get("c", F.col("at") - 1), is_date), True).cast("int")
+    rows = rows.select(place.alias("place"), F.explode(F.slice("c", F.col("at") + 1, F.size("c"))).alias("c"))
+    day = F.regexp_extract(F.get("c", F.col("place") - 1), r"^\s*(\S+(?: [A-Za-z]{3,9},? \d{4})?)", 1)
+    day = F.coalesce(*(F.try_to_date(day, f) for f in ("yyyy-MM-dd", "MM/dd/yyyy", "dd MMM yyyy", "dd-MMM-yyyy")))
+    bare = lambda c: F.regexp_replace(c, r"\s", "")
+    number = lambda c: F.when(bare(c).rlike(r"^\d{1,3}(\.\d{3})*,\d+$"), F.translate(F.translate(bare(c), ".", ""), ",", ".")).otherwise(F.translate(bare(c), ",", "")).try_cast("double")
+    others = F.transform("c", lambda c, i: F.when(i != F.col("place") - 1, number(c)))
+    out = rows.select(day.alias("session_date"), F.get(F.filter(others, lambda v: v > 0), 0).alias("level"))
+    return out.where("session_date is not null and level is not null")
+
+
 class _Tables(HTMLParser):
     """The cells of every table, nested ones apart, with white space made one blank."""
 
@@ -136,6 +171,27 @@ def constituents(html: str) -> list[dict[str, str]]:
     return [dict(zip(best[0], row)) for row in best[1:] if len(row) == len(best[0])]
 
 
+def constituent_changes(html: str) -> list[tuple[str, str, str]]:
+    """(date text, change, ticker) of the tables whose first two rows speak of what was added and removed: the date,
+    what joined and its name, what left and its name, by place; rows that are short end early."""
+    out = []
+    for table in tables_of(html):
+        said = " ".join(c.lower() for row in table[:2] for c in row)
+        if len(table) < 2 or "added" not in said or "removed" not in said:
+            continue
+        for row in table:
+            if row and re.search(r"\d{4}", row[0]):
+                out += [(row[0], change, row[i]) for i, change in ((1, "join"), (3, "leave")) if len(row) > i and row[i]]
+    return out
+
+
+def seeds(text: str, table: str) -> list[dict]:
+    """The entries of an array of tables in a TOML text."""
+    import tomllib
+
+    return tomllib.loads(text).get(table, [])
+
+
 def roster(spark, entries: list[dict], columns: list[str]) -> DataFrame:
     """A seed list as rows, missing fields null."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])

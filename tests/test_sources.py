@@ -150,3 +150,13 @@ def test_sdmx_csv_keeps_quoted_commas_and_texts_without_areas(spark):
     texts = spark.createDataFrame([('REF_AREA,TITLE,TIME_PERIOD,OBS_VALUE\r\nUS,"Rate, ten ""y""",2024-01,1.5\r\nFR,x,2024-02,2\nUS,short\nUS,x,2024-03,\n',), ("TIME_PERIOD,OBS_VALUE\n2024-05,7\n",)], "text string")
     got = {(str(r.obs_date), r.value) for r in P.sdmx_csv(texts, ref_area="US").collect()}
     assert got == {("2024-01-01", 1.5), ("2024-05-01", 7.0)}
+
+
+def test_changes_seeds_and_errors(spark):
+    html = "<table><tr><th>Date<th colspan=2>Added<th colspan=2>Removed<th>Reason<tr><th><th>Ticker<th>Security<th>Ticker<th>Security<th><tr><td>March 3, 2020<td>AAA<td>A Co<td>BBB<td>B Co<td>x<tr><td>May 1, 2021<td><td><td>CCC</table><table><tr><th>Symbol<tr><td>D</table>"
+    assert P.constituent_changes(html) == [("March 3, 2020", "join", "AAA"), ("March 3, 2020", "leave", "BBB"), ("May 1, 2021", "leave", "CCC")]
+    entries = P.seeds('[[universe]]\nid = "a"\nkind = "index"\n[[universe]]\nid = "b"\n', "universe")
+    assert [tuple(r) for r in P.roster(spark, entries, ["id", "kind"]).collect()] == [("a", "index"), ("b", None)]
+    bad = spark.createDataFrame([('{"error_code": " 100", "error_message": "none"}',), ('{"error_code": "0", "indexes": {"INDEX_LEVELS": [{"calc_date": 20200102, "level_eod": 1.5}, {"calc_date": 7, "level_eod": 2}, {"calc_date": 20200103, "level_eod": -1}]}}',)], "text string")
+    assert [tuple(r) for r in P.index_graph_errors(bad).collect()] == [(" 100", "none")]
+    assert [(str(r.session_date), r.level) for r in P.index_graph(bad).collect()] == [("2020-01-02", 1.5)]
