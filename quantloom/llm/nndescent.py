@@ -2,8 +2,7 @@
 
 Vectors that are equal, of one label, are one node. Neighbour lists begin in the leaves of random-projection
 trees; then neighbours of a node are compared with one another, and what is nearer than the lists' ends
-enters them, until a round finds hardly a new link. A list that holds links only is saturated, and is
-enlarged. Every link met joins components. An audit compares sampled nodes, some of each found component and
+enters them, for some rounds. A list that holds links only is saturated, and is enlarged. Every link met joins components. An audit compares sampled nodes, some of each found component and
 some of none, with all others. While recall is short more trees are planted; if it stays short, the vectors of
 a group are compared block by block.
 
@@ -254,7 +253,8 @@ def link_counts(nodes: DataFrame, labels: DataFrame, tau: float, block: int = 10
     if not dims:
         return nodes.sparkSession.createDataFrame([], "node long, n long")
     centre = members.groupBy("component").agg(*(F.sum(F.col("unit")[i]).alias(f"c{i}") for i in range(dims)))
-    centre = centre.select("component", F.array(*(F.col(f"c{i}") for i in range(dims))).alias("centre"))
+    # written, so that both sides of the join are plain exchanges and a large component's rows may be dealt out
+    centre = stored(centre.select("component", F.array(*(F.col(f"c{i}") for i in range(dims))).alias("centre")), "centre")
     with_centre = members.join(centre, "component")
     dot = F.aggregate(F.zip_with("unit", "centre", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
     length = F.sqrt(F.aggregate("centre", F.lit(0.0), lambda a, x: a + F.coalesce(x * x, F.lit(0.0))))
@@ -305,7 +305,7 @@ def near_duplicates(
     tau: float = 0.93,
     k: int = 8,
     trees: int = 6,
-    rounds: int = 5,
+    rounds: int = 2,
     leaf: int = 512,
     sample_rows: int = 2048,
     audit_rows: int = 1024,
@@ -360,7 +360,7 @@ def near_duplicates(
     roots = labels.select(F.col("component").alias("node"), "component").distinct()
     counts = link_counts(nodes, labels.unionByName(roots), tau)
     of_node = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = of_node.groupBy("component").agg(F.min("low").alias("component_id"))
+    lowest = stored(of_node.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
     of_node = of_node.join(lowest, "component").join(counts, "node", "left")
     of_node = of_node.select("grp", "vector", "component_id", F.coalesce("n", F.col("w") - 1).alias("n_links"))
     out = rows.join(of_node, ["grp", "vector"], "left")
