@@ -169,6 +169,19 @@ def character_classes() -> dict[str, str]:
     return {kind: "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in ranges) for kind, ranges in found.items()}
 
 
+def word_pattern(classes: dict[str, str], top: int) -> re.Pattern:
+    """The byte-level rule for texts of characters up to top: the fewer ranges a class has, the faster it is."""
+
+    def up_to(ranges: str) -> str:
+        pairs = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\U(\w{8})-\\U(\w{8})", ranges)]
+        return "".join(f"\\U{a:08x}-\\U{min(b, top):08x}" for a, b in pairs if a <= top)
+
+    letter, number, white = (up_to(classes[kind]) for kind in "a1 ")
+    return re.compile(
+        f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{white}{letter}{number}]+|[{white}]+(?![^{white}])|[{white}]+"
+    )
+
+
 class Coder:
     """Encodes and decodes whole texts as a byte-level tokenizers file says. classes: of character_classes()."""
 
@@ -187,16 +200,14 @@ class Coder:
         self.emitted = [b""] * (max([*labels, *self.added.values()]) + 1)
         for i, label in [*labels.items(), *((i, s.encode()) for s, i in self.added.items())]:
             self.emitted[i] = label
-        letter, number, white = (classes[kind] for kind in "a1 ")
-        self.split = re.compile(
-            f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{white}{letter}{number}]+|[{white}]+(?![^{white}])|[{white}]+"
-        )
+        self.ascii, self.plane, self.full = (word_pattern(classes, top) for top in (0x7F, 0xFFFF, 0x10FFFF))
         self.special = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})")
         self.words: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         words, out = self.words, []
-        for word in self.split.findall(text):
+        split = self.ascii if text.isascii() else self.plane if max(text) <= "\uffff" else self.full
+        for word in split.findall(text):
             ids = words.get(word)
             if ids is None:
                 if len(words) > _CACHE_WORDS:
