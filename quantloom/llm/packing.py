@@ -17,6 +17,8 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import compress, count, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -83,9 +85,16 @@ class _Ids:
         if len(self.words) > _CACHE_WORDS:
             self.words.clear()
         words = self.words
-        new = list(set().union(*split.values()) - words.keys())
+        # one look-up a word; what is not there is noted with its place, and filled in once the tokenizer has seen it
+        found = {i: list(map(words.get, ws)) for i, ws in split.items()}
+        missing = {i: list(compress(count(), map(is_, ids, repeat(None)))) for i, ids in found.items() if None in ids}
+        new = list({split[i][k] for i, places in missing.items() for k in places})
         words.update(zip(new, self.of_words(new)))
-        out = {i: b"".join(map(words.__getitem__, ws)) for i, ws in split.items()}
+        for i, places in missing.items():
+            ids, ws = found[i], split[i]
+            for k in places:
+                ids[k] = words[ws[k]]
+        out = {i: b"".join(ids) for i, ids in found.items()}
         out.update(zip(rest, self.whole([texts[i] for i in rest])))
         return [out[i] for i in range(len(texts))]
 
