@@ -32,7 +32,7 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 # texts of these characters only are split here; all others go to the tokenizer whole
 _PLAIN = re.compile(rf"[\t\n\r -~{_LETTERS}¿¡«»]*")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 800_000
 _TOKENIZERS: dict = {}
 
 
