@@ -46,7 +46,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key, None)
+    conf.set(key, "true")  # what was shuffled goes with the job, and not when the driver happens to collect its garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(key) if was is None else conf.set(key, was)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -58,6 +64,23 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sifted(df: DataFrame, column: str, ids: DataFrame, most: int = 27) -> DataFrame:
+    """df with __among: false only where the column's value is none of ids (a frame of one long column). A bit is set
+    for each id's hash, of 32 bits an id and 2 ** most in all, so that few others pass, and what is broadcast
+    is bounded; an exact join decides about those that pass."""
+    ids = ids.toDF("id")
+    bits = 1 << min(most, max(15, (32 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits))
+    page = lambda c: F.shiftright(place(c), 15)
+    pages = ids.select(page(F.col("id")).alias("__page"), F.pmod(place(F.col("id")), F.lit(1 << 15)).alias("at"))
+    pages = pages.repartition("__page").groupBy("__page").agg(F.bitmap_construct_agg("at").alias("__set"))
+    at = F.pmod(place(F.col(column)), F.lit(1 << 15)).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(__set, __at div 8 + 1, 1)")), 16, 10).cast("int")
+    among = F.coalesce(F.expr("(__byte >> (__at % 8)) & 1") == 1, F.lit(False))
+    out = df.withColumns({"__page": page(F.col(column)), "__at": at}).join(F.broadcast(stored(pages, "pages")), "__page", "left")
+    return out.withColumn("__byte", byte).select(*df.columns, among.alias("__among"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b), two longs: (node, component), the component's smallest node.
 

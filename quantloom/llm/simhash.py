@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, dropped, sifted, stored, table
 
 _BLOCK = 1 << 20  # pairs compared at once
 _HELD = 50_000  # shingles whose bits are unpacked at once
@@ -334,9 +334,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, **parame
 # ---------------------------------------------------------------- similarity of shingle sets
 
 WIDE = 16  # words of 64 bits
+THIN = 4  # words that travel where candidates are found
 
-
-BANDS, BAND = 10, 3  # keys of a set, and the least hashes in each
+BANDS, BAND = 20, 3  # keys of a set, and the least hashes in each
 
 
 def sketches(texts: list[str | None], words: int = 5) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes]]:
@@ -352,14 +352,17 @@ def sketches(texts: list[str | None], words: int = 5) -> tuple[list[bytes], np.n
         n = sizes[i] = len(shingles)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
         hashes.sort()
-        count, least = np.zeros(64 * WIDE, np.int32), np.full(2 * WIDE, 2**32 - 1, np.uint32)
+        count, least = np.zeros(64 * WIDE, np.int32), np.full(4 * WIDE, 2**32 - 1, np.uint32)
         for at in range(0, n, 4096):
             h = hashes[at : at + 4096, None] ^ salts
             h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             h ^= h >> np.uint64(31)
             count += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
-            least = np.minimum(least, h.view(np.uint32).min(axis=0))
+            least[: 2 * WIDE] = np.minimum(least[: 2 * WIDE], h.view(np.uint32).min(axis=0))
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+            least[2 * WIDE :] = np.minimum(least[2 * WIDE :], h.view(np.uint32).min(axis=0))
         out[i], sets[i] = np.packbits(2 * count > n).tobytes(), hashes.tobytes()
         for j in least[: BANDS * BAND].reshape(BANDS, BAND).T.astype(np.uint64):
             keys[i] = (keys[i] ^ j) * np.uint64(0x9E3779B97F4A7C15)
@@ -400,47 +403,76 @@ def shares(similarity: float, largest: int = 128) -> np.ndarray:
     return out
 
 
-def bit_limits(similarity: float, bits: int) -> np.ndarray:
-    """How many of so many bits candidates differ in at most, by the smaller set's size: 3.3 standard errors more
-    than expected. What follows compares the sets themselves."""
+def bit_limits(similarity: float, bits: int, errors: float = 3.3) -> np.ndarray:
+    """How many of so many bits candidates differ in at most, by the smaller set's size: so many standard errors
+    more than expected. What follows compares the sets themselves."""
     share = shares(similarity)
-    return np.ceil(bits * share + 3.3 * np.sqrt(bits * share * (1 - share))).astype(np.int64)
+    return np.ceil(bits * share + errors * np.sqrt(bits * share * (1 - share))).astype(np.int64)
 
 
-def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: int = 4, leaf_rows: int = 2048, sample_rows: int = 16384, task_rows: int = 32768) -> DataFrame:
-    """Links (a, b) among nodes (wide, size, node and, if there, keys) that span the components of candidates:
-    pairs whose 1024 bits differ in no more than bit_limits() allows.
+def reach_within(tree: Node, points: np.ndarray, reach: int, copies: float) -> int:
+    """The widest reach, up to the one given, within which the points enter so many leaves each on average."""
+    entered = lambda r: sum(len(rows) for _, rows, _ in routes(tree, points, r))
+    return next((r for r in range(reach, 0, -1) if entered(r) <= copies * len(points)), 0)
 
-    Sets so similar differ in size by that factor at most: the distance from the empty set is the first
-    vantage point's, and bounds exactly. Of 64 bits such pairs differ in so many that no triangle bound
-    excludes a branch; a point therefore enters the branches that lie within reach of it only, in several
-    trees, and what that loses grows with their depth. Sets that share a key meet as well, whatever the number
-    of nodes: of pairs of similarity s that is 1 - (1 - s ** BAND) ** BANDS, 0.9992 at 0.8.
-    """
-    n = nodes.count()
-    spark = nodes.sparkSession
-    if n < 2:
-        return spark.createDataFrame([], "a long, b long")
-    word = lambda wide: np.frombuffer(b"".join(wide), "<u8").reshape(-1, WIDE)
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(sample_rows).select("wide", "size").toArrow()
+
+def sent_to_leaves(nodes: DataFrame, n: int, similarity: float, trees: int, reach: int, leaf_rows: int, sample_rows: int, task_rows: int, copies: float) -> DataFrame:
+    """A row for each leaf that one of the n nodes enters, of the trees and, as tree number trees, of the keys."""
+    word = lambda wide: np.frombuffer(b"".join(wide), "<u8").reshape(-1, THIN)
+    thin = F.substring("wide", 1, 8 * THIN).alias("wide")
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(sample_rows).select(thin, "size").toArrow()
     points, band_of = word(sample["wide"].to_pylist())[:, 0], lambda size: np.floor(np.log(np.maximum(size, 1)) / -math.log(similarity)).astype(np.int64)
     # as many leaves as the fullest band of sizes needs
     fullest = np.unique(band_of(np.asarray(sample["size"])), return_counts=True)[1].max() / sample.num_rows
     forest = [routing_tree(points, max(1, math.ceil(n * fullest / leaf_rows)), seed) for seed in range(trees)]
-    near, wide_near = bit_limits(similarity, 64), bit_limits(similarity, 64 * WIDE)
+    # the rows that travel would grow faster than the nodes, as borders do; where keys see to the pairs, reach gives way
+    within = [reach_within(tree, points, reach, copies) if "keys" in nodes.columns else reach for tree in forest]
 
     def send(batches):
         for batch in batches:
             wide, size, node = (batch.column(c) for c in range(3))
             first, band = word(wide.to_pylist())[:, 0], band_of(np.asarray(size))
             for t, tree in enumerate(forest):
-                for leaf, rows, home in routes(tree, first, reach):
+                for leaf, rows, home in routes(tree, first, within[t]):
                     for up in (False, True):  # in the band of larger sets, a guest: at home there too, for the inner point of a pair across a border may be the larger set
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(rows), t)), pa.array(band[rows] + up), pa.array(np.full(len(rows), leaf)), wide.take(pa.array(rows)), size.take(pa.array(rows)), node.take(pa.array(rows)), pa.array(home), pa.array(np.full(len(rows), up)), pa.array(np.zeros(len(rows), np.int64))],
                             ["tree", "band", "leaf", "wide", "size", "node", "home", "guest", "key"],
                         )
 
+    schema = "tree long, band long, leaf long, wide binary, size long, node long, home boolean, guest boolean, key long"
+    sent = nodes.select(thin, "size", "node").mapInArrow(send, schema)
+    if "keys" in nodes.columns:
+        keyed = nodes.select(thin, "size", "node", F.posexplode("keys").alias("band", "key"))
+        tasks = max(1, -(-4 * n // task_rows))
+        sent = sent.unionByName(
+            keyed.select(
+                F.lit(trees).cast("long").alias("tree"), F.col("band").cast("long").alias("band"), F.pmod("key", F.lit(tasks)).cast("long").alias("leaf"),
+                "wide", "size", "node", F.lit(True).alias("home"), F.lit(False).alias("guest"), "key",
+            )
+        )
+    return sent
+
+
+def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: int = 4, leaf_rows: int = 2048, sample_rows: int = 16384, task_rows: int = 32768, copies: float = 6) -> DataFrame:
+    """Links (a, b) among nodes (wide, size, node and, if there, keys) that span the components of candidates:
+    pairs whose first 256 bits differ in no more than bit_limits() allows, within four standard errors.
+
+    Sets so similar differ in size by that factor at most: the distance from the empty set is the first
+    vantage point's, and bounds exactly. Of 64 bits such pairs differ in so many that no triangle bound
+    excludes a branch; a point therefore enters the branches that lie within reach of it only, in several
+    trees, and what that loses grows with their depth. Sets that share a key meet as well, whatever the number
+    of nodes: of pairs of similarity s that is 1 - (1 - s ** BAND) ** BANDS, all but one in 1.7 million at 0.8.
+    With keys, a tree's reach is the widest up to reach in which a node enters as many of its leaves as copies
+    on average, so that the rows that travel grow as the nodes do.
+    """
+    n = nodes.count()
+    spark = nodes.sparkSession
+    if n < 2:
+        return spark.createDataFrame([], "a long, b long")
+    word = lambda wide: np.frombuffer(b"".join(wide), "<u8").reshape(-1, THIN)
+    near, thin_near = bit_limits(similarity, 64), bit_limits(similarity, 64 * THIN, 4)
+
     def search(leaf: pa.Table) -> pa.Table:
         node, home, key = (np.asarray(leaf[c]) for c in ("node", "home", "key"))
         wide, size = word(leaf["wide"].to_pylist()), np.asarray(leaf["size"])
@@ -453,7 +485,7 @@ def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: in
                 least = np.minimum(size[x], size[y])
                 fits = least >= similarity * np.maximum(size[x], size[y]) - 1e-9
                 x, y, least = x[fits], y[fits], least[fits]
-                ok = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int32) <= wide_near[np.minimum(least, last)]
+                ok = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int32) <= thin_near[np.minimum(least, last)]
                 found.link(x[ok], y[ok])
 
         first, rng = np.ascontiguousarray(wide[:, 0]), random.Random(len(node))
@@ -483,17 +515,7 @@ def similar_links(nodes: DataFrame, similarity: float, trees: int = 2, reach: in
         rows = np.flatnonzero(found.label != np.arange(len(node)))
         return pa.table({"a": pa.array(node[rows]), "b": pa.array(node[found.label[rows]])})
 
-    schema = "tree long, band long, leaf long, wide binary, size long, node long, home boolean, guest boolean, key long"
-    sent = nodes.select("wide", "size", "node").mapInArrow(send, schema)
-    if "keys" in nodes.columns:
-        keyed = nodes.select("wide", "size", "node", F.posexplode("keys").alias("band", "key"))
-        tasks = max(1, -(-4 * n // task_rows))
-        sent = sent.unionByName(
-            keyed.select(
-                F.lit(trees).cast("long").alias("tree"), F.col("band").cast("long").alias("band"), F.pmod("key", F.lit(tasks)).cast("long").alias("leaf"),
-                "wide", "size", "node", F.lit(True).alias("home"), F.lit(False).alias("guest"), "key",
-            )
-        )
+    sent = sent_to_leaves(nodes, n, similarity, trees, reach, leaf_rows, sample_rows, task_rows, copies)
     sent = in_blocks(sent, ["tree", "band", "leaf"], task_rows)
     return sent.groupBy("tree", "band", "leaf", "p", "q").applyInArrow(search, "a long, b long")
 
@@ -550,7 +572,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, similarity: float, words
 
     near, wide_near = bit_limits(similarity, 64), bit_limits(similarity, 64 * WIDE)
     members = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
-    texts = docs.select("doc_id", "text").join(members.hint("merge"), F.col("doc_id") == F.col("node")).select("component", "node", "text")
+    texts = sifted(docs.select("doc_id", "text"), "doc_id", members.select("node")).where("__among").join(members.hint("merge"), F.col("doc_id") == F.col("node")).select("component", "node", "text")
     sets = texts.mapInArrow(run, "component long, node long, wide binary, size long, shingles binary")
     sets = sets.groupBy("component", "node", "wide", "size").agg(F.min("shingles").alias("shingles"))
     sets = in_blocks(stored(sets, "shingles"), ["component"], task_shingles, "size + 64")
@@ -578,7 +600,10 @@ def groups_of_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     found = components(confirmed_links(docs, candidates, similarity, words))
     labelled = nodes.join(found, "node", "left").select("wide", "size", F.coalesce("component", "node").alias("component_id"))
     out = rows.join(labelled, ["wide", "size"]).groupBy("doc_id")
-    return stored(out.agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
+    out = stored(out.agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
+    dropped(rows)
+    dropped(nodes)
+    return out
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, **parameters) -> DataFrame:
@@ -587,9 +612,11 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, **para
     Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
     """
     rows = groups_of_similar(docs, similarity, words, **parameters)
-    # nothing bounds the list of those that go: it is never broadcast
+    # nothing bounds the list of those that go: it is never broadcast, and only the texts that may be on it travel
     gone = rows.where("component_id < doc_id").select("doc_id")
-    out = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    marked = sifted(docs, "doc_id", gone)
+    out = marked.where("__among").select(*docs.columns).join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    out = marked.where("not __among").select(*docs.columns).unionByName(out)
     if rows.where("n > 1").isEmpty():
         return out
     once = out.where("doc_id is not null").dropDuplicates(["doc_id"])

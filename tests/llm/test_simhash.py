@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,7 @@ import pytest
 import xxhash
 
 from quantloom.llm import simhash
-from quantloom.llm.common import components, stored
+from quantloom.llm.common import components, sifted, stored
 
 
 def brute_fingerprint(text):
@@ -209,3 +210,49 @@ def test_one_of_each(spark):
     assert out.columns == docs.columns
     assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([1, 2, 8, 4, None, None], key=str)
     assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_rows_sent_grow_as_the_nodes(spark):
+    """In deep trees as in flat ones a node goes to a bounded number of leaves, in rows of 32 bytes of fingerprint."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    rows = [(rng.bytes(8 * simhash.WIDE), 200, i, rng.integers(-(2**62), 2**62, simhash.BANDS).tolist()) for i in range(n)]
+    nodes = stored(spark.createDataFrame(rows, "wide binary, size long, node long, keys array<bigint>"), "nodes")
+    for leaf_rows in (1000, 8):
+        sent = simhash.sent_to_leaves(nodes, n, 0.8, trees=2, reach=4, leaf_rows=leaf_rows, sample_rows=1024, task_rows=32768, copies=6).selectExpr("tree", "octet_length(wide) AS width", "guest").toArrow().to_pandas()
+        assert set(sent["width"]) == {8 * simhash.THIN}
+        assert (sent["tree"] == 2).sum() == simhash.BANDS * n
+        for tree in (0, 1):
+            assert n <= (~sent["guest"][sent["tree"] == tree]).sum() <= 6.6 * n
+
+
+def test_keys_alone_bring_pairs_together():
+    rng, met = random.Random(17), 0
+    for _ in range(1500):
+        base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(94)]
+        copy = base[:-10] + ["".join(rng.choices("abcdefgh", k=6)) for _ in range(10)]  # 80 of 100 shingles
+        keys = simhash.sketches([" ".join(base), " ".join(copy)])[2]
+        met += bool((keys[0] == keys[1]).any())
+    assert met == 1500
+
+
+def test_sifted_passes_all_and_few_others(spark):
+    ids = spark.range(0, 40_000, 7).selectExpr("id * 1000003 - 9 AS doc_id")
+    docs = spark.range(40_000).selectExpr("IF(id = 5, NULL, id * 1000003 - 9) AS doc_id", "'x' AS text")
+    out = sifted(docs, "doc_id", ids)
+    assert out.columns == ["doc_id", "text", "__among"] and out.count() == 40_000
+    assert out.join(ids, "doc_id").where("not __among").isEmpty()
+    assert out.where("__among").count() < 1.1 * ids.count() + 0.06 * 40_000
+    assert not out.where("__among is null").count() and sifted(docs, "doc_id", ids.limit(0)).where("__among").isEmpty()
+
+
+def test_what_stored_shuffled_goes_at_once(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    stored(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "counts")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
